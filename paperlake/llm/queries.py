@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlake.llm.knn import nearest
+from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +20,19 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near.where(a != b).select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Cuts that can't be avoided: two neighbouring blocks that together exceed 1,800 characters."""
+    pieces = split_items(table(spark, root, "chunks"))
+    return pieces.where("cut_kind = 'forced'").select(F.col("id").alias("chunk_id"), "cut_offset").distinct()
+
+
+def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The pieces of every oversized chunk, with right offsets in the paper's markdown."""
+    return split_chunks(table(spark, root, "chunks"), table(spark, root, "paper_text"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces)}
 
 
 def llm_oracles() -> dict[str, str]:
