@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paperlake.llm.bpe import encode
 from paperlake.llm.knn import nearest
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.sources.tables import table
@@ -31,8 +32,13 @@ def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_chunks(table(spark, root, "chunks"), table(spark, root, "paper_text"))
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """The ids of every document's text by byte_bpe_50k; null and empty texts have none."""
+    return encode(table(spark, root, "documents"), "doc_id", "text")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces)}
+    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p8_ids)}
 
 
 def llm_oracles() -> dict[str, str]:
