@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlake.llm.bpe import encode
 from paperlake.llm.knn import nearest
+from paperlake.llm.leaks import leaks
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.sources.tables import table
 
@@ -37,8 +38,13 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode(table(spark, root, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold 12 or more consecutive words of a held-out item, with the item."""
+    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p8_ids, p9_found)}
 
 
 def llm_oracles() -> dict[str, str]:
