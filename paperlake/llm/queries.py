@@ -10,6 +10,7 @@ from paperlake.llm.bpe import encode
 from paperlake.llm.knn import nearest
 from paperlake.llm.leaks import leaks
 from paperlake.llm.splitting import split_chunks, split_items
+from paperlake.llm.subjects import subjects_of
 from paperlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,14 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """The one or two subject areas that each document is about."""
+    got = subjects_of(table(spark, root, "documents"), table(spark, root, "subject_labels"), table(spark, root, "subjects"))
+    return got.select("doc_id", "subject")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p8_ids, p9_found, p10_found)}
 
 
 def llm_oracles() -> dict[str, str]:
