@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from paperlake.functions import packed
@@ -25,18 +25,20 @@ from paperlake.functions import packed
 MAX_BROADCAST_RULES = 20_000
 SALTS = 32
 
+_RULE = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("esc", T.BooleanType())]))
 
-@pandas_udf("string")
+
+@pandas_udf(T.StringType())
 def skeleton_of(texts: pd.Series) -> pd.Series:
     return texts.map(packed.skeleton)
 
 
-@pandas_udf("array<struct<a:int,b:int,esc:boolean>>")
+@pandas_udf(_RULE)
 def rule_of(skeletons: pd.Series) -> pd.Series:
     return skeletons.map(lambda sk: [{"a": a, "b": b, "esc": e} for a, b, e in packed.resolve(sk)])
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def values_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, rules in batches:
         yield pd.Series([packed.extract(t, [(r["a"], r["b"], r["esc"]) for r in rule]) for t, rule in zip(texts, rules)])
