@@ -11,6 +11,7 @@ from paperlake.llm.knn import nearest
 from paperlake.llm.leaks import leaks
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.llm.subjects import subjects_of
+from paperlake.llm.survivors import surviving_works
 from paperlake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,16 @@ def p5_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_chunks(table(spark, root, "chunks"), table(spark, root, "paper_text"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Every work with several rows in papers and the row that stands for it."""
+    return surviving_works(table(spark, root, "papers")).select("work_id", "canonical_id")
+
+
+def p7_records(spark: SparkSession, root: str) -> DataFrame:
+    """The surviving record of every such work, field by field."""
+    return surviving_works(table(spark, root, "papers"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """The ids of every document's text by byte_bpe_50k; null and empty texts have none."""
     return encode(table(spark, root, "documents"), "doc_id", "text")
@@ -51,7 +62,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
 
 
 def llm_oracles() -> dict[str, str]:
