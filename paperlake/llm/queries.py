@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlake.llm.bpe import encode
 from paperlake.llm.knn import nearest
 from paperlake.llm.leaks import leaks
+from paperlake.llm.markup import found_kinds, markup
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.llm.subjects import subjects_of
 from paperlake.llm.survivors import surviving_works
@@ -24,6 +26,24 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near.where(a != b).select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
 
 
+def _markup_fields(spark: SparkSession, root: str):
+    bib, text = table(spark, root, "bib"), table(spark, root, "paper_text")
+    yield bib, "entry_id", "title", "bib.title", True
+    yield bib, "entry_id", "abstract", "bib.abstract", True
+    yield text, "paper_id", "markdown", "paper_text.markdown", False
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """The kinds of markup residue in bib.title, bib.abstract and paper_text.markdown."""
+    return reduce(DataFrame.unionByName, [found_kinds(*x) for x in _markup_fields(spark, root)])
+
+
+def p2_clean(spark: SparkSession, root: str) -> DataFrame:
+    """The clean text of the three fields."""
+    parts = [markup(df, i, c, m).select(F.lit(f).alias("field"), "record_id", "clean") for df, i, c, f, m in _markup_fields(spark, root)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Cuts that can't be avoided: two neighbouring blocks that together exceed 1,800 characters."""
     pieces = split_items(table(spark, root, "chunks"))
@@ -62,7 +82,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
 
 
 def llm_oracles() -> dict[str, str]:
