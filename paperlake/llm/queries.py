@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paperlake.llm.bpe import encode
 from paperlake.llm.knn import nearest
 from paperlake.llm.leaks import leaks
+from paperlake.llm.linkage import link_works
 from paperlake.llm.markup import found_kinds, markup
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.llm.subjects import subjects_of
@@ -44,6 +45,16 @@ def p2_clean(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Papers rows and bib entries about the same work."""
+    return p3_links(spark, root).select("paper_id", "entry_id")
+
+
+def p3_links(spark: SparkSession, root: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return link_works(table(spark, root, "papers"), table(spark, root, "bib"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Cuts that can't be avoided: two neighbouring blocks that together exceed 1,800 characters."""
     pieces = split_items(table(spark, root, "chunks"))
@@ -82,7 +93,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_links, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
 
 
 def llm_oracles() -> dict[str, str]:
