@@ -12,6 +12,7 @@ from paperlake.llm.knn import nearest
 from paperlake.llm.leaks import leaks
 from paperlake.llm.linkage import link_works
 from paperlake.llm.markup import found_kinds, markup
+from paperlake.llm.ocr import repaired
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.llm.subjects import subjects_of
 from paperlake.llm.survivors import surviving_works
@@ -55,6 +56,17 @@ def p3_links(spark: SparkSession, root: str) -> DataFrame:
     return link_works(table(spark, root, "papers"), table(spark, root, "bib"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of paper_text.raw_text that are noisy, and how."""
+    got = repaired(table(spark, root, "paper_text"), with_text=False)
+    return got.select(F.col("id").alias("paper_id"), F.explode("cases").alias("c")).select("paper_id", "c.line_no", "c.kind").distinct()
+
+
+def p4_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    """The texts repaired into continuous paragraphs."""
+    return repaired(table(spark, root, "paper_text")).select(F.col("id").alias("paper_id"), "text")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Cuts that can't be avoided: two neighbouring blocks that together exceed 1,800 characters."""
     pieces = split_items(table(spark, root, "chunks"))
@@ -93,7 +105,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_links, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p3_found, p3_links, p4_found, p4_paragraphs, p5_found, p5_pieces, p7_found, p7_records, p8_ids, p9_found, p10_found)}
 
 
 def llm_oracles() -> dict[str, str]:
