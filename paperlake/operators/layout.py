@@ -1,0 +1,76 @@
+"""Printed titles from page spans (doc_id, page, line, x, y, size, bold, text)."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+CONTRAST, MOST_LINES, SAME_SIZE = 1.15, 6, 0.05
+_BYLINE = re.compile(r"^(by\s|\S+@\S+)|\b(university|institute|department|college)\b", re.I)
+
+
+def body_sizes(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, body): the font size that most characters of a page have."""
+    by_size = spans.groupBy("doc_id", "page", "size").agg(F.sum(F.length("text")).alias("n"))
+    order = Window.partitionBy("doc_id", "page").orderBy(F.desc("n"), F.desc("size"))
+    return by_size.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "page", F.col("size").alias("body"))
+
+
+def clean_title(text: str) -> str:
+    text = re.sub(r"\s+", " ", text).strip(" *†‡§")
+    return re.sub(r"(?<=\w)- (?=[a-z])", "", text)
+
+
+def is_garbled(text: str) -> bool:
+    """Whether a title looks like broken encoding rather than words."""
+    words = text.split()
+    good = sum(bool(re.fullmatch(r"[\W_]*[^\W\d_][^\W_'’\-]*(?:['’\-][^\W_]+)*[\W_]*|\d{1,4}[\W_]*", w)) for w in words)
+    return not words or "�" in text or good / len(words) < 0.6
+
+
+def pick(lines: list[tuple[float, float, str]], body: float) -> tuple[str | None, str | None]:
+    """(title, confidence) from (y, size, text) lines of a page: the largest run of near-equal size."""
+    best: tuple[float, list[str]] = (0.0, [])
+    n = 0
+    while n < len(lines):
+        _, size, text = lines[n]
+        if _BYLINE.search(text) or not re.search(r"[^\W\d_]{3}", text):
+            n += 1
+            continue
+        run, k = [text], n + 1
+        while k < len(lines) and len(run) < MOST_LINES and abs(lines[k][1] - size) <= SAME_SIZE * size and not _BYLINE.search(lines[k][2]):
+            run.append(lines[k][2])
+            k += 1
+        if size > best[0] and len(" ".join(run)) >= 8:
+            best = (size, run)
+        n = k
+    if not best[1]:
+        return None, None
+    title = clean_title(" ".join(best[1]))
+    if is_garbled(title):
+        return None, None
+    return title, "high" if body and best[0] >= CONTRAST * body else "low"
+
+
+def layout_titles(spans: DataFrame) -> DataFrame:
+    """(doc_id, title, confidence) of the first page with a usable title."""
+    lines = spans.groupBy("doc_id", "page", "line").agg(F.min("y").alias("y"), F.max("size").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ").alias("text"))
+    pages = lines.join(body_sizes(spans), ["doc_id", "page"])
+
+    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+        for _, page in p.sort_values("page").groupby("page"):
+            page = page.sort_values("y")
+            title, sure = pick(list(zip(page["y"], page["size"], page["text"])), float(page["body"].iloc[0]))
+            if title:
+                return pd.DataFrame([(key[0], title, sure)], columns=["doc_id", "title", "confidence"])
+        return pd.DataFrame([(key[0], None, None)], columns=["doc_id", "title", "confidence"])
+
+    return pages.groupBy("doc_id").applyInPandas(run, "doc_id bigint, title string, confidence string")
+
+
+def scan_class(blocks: DataFrame, threshold: float = 0.05, digital: float = 0.15) -> DataFrame:
+    """(doc_id, kind): scanned, digital or mixed by the mean share of text area (doc_id, page, ratio)."""
+    mean = F.avg("ratio")
+    return blocks.groupBy("doc_id").agg(mean.alias("m")).select("doc_id", F.when(F.col("m").isNull() | (F.col("m") > digital), "digital").when(F.col("m") < threshold, "scanned").otherwise("mixed").alias("kind"))

@@ -1,4 +1,4 @@
-"""The driver-facing queries of the core; SQL twins in ``oracles``."""
+"""The driver-facing queries of the core; their SQL twins are in ``oracles``."""
 
 from __future__ import annotations
 
@@ -6,22 +6,540 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paperlake.operators import chunking, find, grep, identity, ledger, library, link, metadata, queue, search, works
+from paperlake.operators.components import components
 from paperlake.operators.unpack import unpack
+from paperlake.oracles import ORACLES
+from paperlake.sources import sinks
 from paperlake.sources.tables import table
+from paperlake.streaming.opens import hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+NEEDLE = "has rarely asked who records the"
+KEYWORDS = "glacier OR permafrost OR monsoon"
 
 
-def p6_found(spark: SparkSession, root: str) -> DataFrame:
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return search.tokenized(table(s, d, "documents"), "doc_id", "text")
+
+
+def english(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("lang = 'en'").select("doc_id")
+
+
+def papers(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "papers")
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def ask(s: SparkSession, d: str, ids: str) -> DataFrame:
+    """Stated vector queries: the vectors of the given rows."""
+    return table(s, d, "embeddings").where(ids).select(F.col("vec_id").alias("q_idx"), F.col("embedding").alias("qvec"))
+
+
+def first_scores(s: SparkSession, d: str) -> DataFrame:
+    return search.knn(vectors(s, d), ask(s, d, "vec_id = 0"), k=2**30)
+
+
+def labelled_scores(s: SparkSession, d: str) -> DataFrame:
+    return first_scores(s, d).join(vectors(s, d).select("id", "label"), "id")
+
+
+@query
+def p6_found(s: SparkSession, d: str) -> DataFrame:
     """One row per name packed in papers.authors and bib.authors."""
-    papers = unpack(table(spark, root, "papers"), "id", "authors").select(F.lit("papers.authors").alias("field"), "*")
-    bib = unpack(table(spark, root, "bib"), "entry_id", "authors").select(F.lit("bib.authors").alias("field"), "*")
-    return papers.unionByName(bib)
+    left = unpack(papers(s, d), "id", "authors").select(F.lit("papers.authors").alias("field"), "*")
+    right = unpack(table(s, d, "bib"), "entry_id", "authors").select(F.lit("bib.authors").alias("field"), "*")
+    return left.unionByName(right)
+
+
+# --- keyword search ---
+
+
+@query
+def fts_bm25_topk(s, d):
+    return search.bm25(docs(s, d), KEYWORDS)
+
+
+@query
+def fts_bool_and_not(s, d):
+    return search.bm25(docs(s, d), "referendum ballot NOT petition")
+
+
+@query
+def fts_phrase(s, d):
+    return search.bm25(docs(s, d), '"as figure 10 shows"')
+
+
+@query
+def fts_prefix(s, d):
+    return search.bm25(docs(s, d), "delib*")
+
+
+@query
+def fts_page_normalized(s, d):
+    return search.page_normalized(search.bm25(docs(s, d), KEYWORDS))
+
+
+@query
+def fts_count(s, d):
+    return search.matches(docs(s, d), KEYWORDS).agg(F.count("*").alias("matches"))
+
+
+@query
+def fts_restricted(s, d):
+    return search.bm25(docs(s, d), KEYWORDS, restrict=english(s, d))
+
+
+@query
+def fts_multi_query(s, d):
+    items = table(s, d, "eval_items").where("item_id < 20 and text is not null").select(F.col("item_id").alias("q_idx"), F.col("text").alias("q"))
+    return search.bm25_batch(docs(s, d), items, limit=5)
+
+
+@query
+def index_postings(s, d):
+    return search.term_stats(docs(s, d))
+
+
+@query
+def corpus_stats(s, d):
+    return search.corpus_stats(docs(s, d))
+
+
+# --- vector search and fusion ---
+
+
+@query
+def vec_knn(s, d):
+    return search.knn(vectors(s, d), ask(s, d, "vec_id = 0"), k=10)
+
+
+@query
+def vec_knn_restricted(s, d):
+    return search.knn(vectors(s, d).where("label in (1, 2)"), ask(s, d, "vec_id = 0"), k=10)
+
+
+@query
+def vec_knn_batch(s, d):
+    return search.knn(vectors(s, d), ask(s, d, "vec_id % 50 = 0"), k=5)
+
+
+@query
+def chunk_knn(s, d):
+    """Every usable chunk vector against the stated queries, the chunks whose id is divisible by 50."""
+    v = table(s, d, "chunk_vec").where(search.usable("embedding", 64)).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")).dropDuplicates(["id"])
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("q_idx"), F.col("vec").alias("qvec"))
+    return search.knn(v, asked, k=5)
+
+
+@query
+def best_chunk_per_doc(s, d):
+    return search.best_per_group(labelled_scores(s, d), "label")
+
+
+@query
+def chunk_pool_top3(s, d):
+    return search.pooled(labelled_scores(s, d), "label")
+
+
+@query
+def cascade(s, d):
+    v = vectors(s, d)
+    heads = v.groupBy("label").agg(F.min("id").alias("id"))
+    doc = first_scores(s, d).join(heads, "id").select(F.col("label").cast("bigint").alias("doc_id"), "score")
+    chunk = labelled_scores(s, d).join(heads.select("id"), "id", "left_anti").select(F.col("id").alias("chunk_id"), F.col("label").cast("bigint").alias("doc_id"), "score")
+    return search.cascade(doc, chunk)
+
+
+@query
+def hybrid_rrf(s, d):
+    shared = table(s, d, "documents").select("doc_id").join(vectors(s, d).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    keyword = search.bm25(docs(s, d), KEYWORDS, limit=40, restrict=shared)
+    near = vectors(s, d).join(shared.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    vector = search.knn(near, ask(s, d, "vec_id = 0"), k=40).select(F.col("id").alias("doc_id"), "score", "rank")
+    return search.rrf(keyword, vector)
+
+
+@query
+def hybrid_folded(s, d):
+    copies = table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    groups = copies.join(copies.groupBy("h").agg(F.min("doc_id").alias("work_id")), "h").select("doc_id", "work_id")
+    return search.folded(search.bm25(docs(s, d), KEYWORDS, limit=60), groups, 20).select("doc_id", "work_id", "score", "rank")
+
+
+@query
+def snippet_best_chunk(s, d):
+    return search.best_chunk_by_terms(table(s, d, "chunks"), "deliberation referendum legitimacy ballot")
+
+
+@query
+def snippet_window(s, d):
+    return search.snippet_window(table(s, d, "documents").select("doc_id", "text"), "referendum ballot")
+
+
+@query
+def find_tiers(s, d):
+    return find.find(papers(s, d), "referendum 2014", limit=50, ascii_only=True)
+
+
+# --- quotes ---
+
+
+def chunk_rows(s, d):
+    return table(s, d, "chunks").where("text is not null").select("doc_id", "chunk_index", "text").distinct()
+
+
+@query
+def grep_exact(s, d):
+    return grep.grep_exact(chunk_rows(s, d), NEEDLE)
+
+
+@query
+def grep_ignore_case(s, d):
+    return grep.grep_exact(chunk_rows(s, d), NEEDLE.upper(), ignore_case=True)
+
+
+@query
+def grep_normalized(s, d):
+    rows = table(s, d, "paper_text").select(F.col("paper_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("raw_text").alias("text"))
+    return grep.grep(rows, "rarely asked who records the")
+
+
+@query
+def grep_prefilter(s, d):
+    return table(s, d, "documents").where(grep.can_match("debate over referendum records")).select("doc_id")
+
+
+# --- queues and dashboards ---
+
+
+@query
+def queue_needs(s, d):
+    return queue.queue(papers(s, d), needs=("ocr", "citekey"))
+
+
+@query
+def queue_has(s, d):
+    return queue.queue(papers(s, d), has=("errors", "text"), exclude_encrypted=True)
+
+
+@query
+def queue_is(s, d):
+    return queue.queue(papers(s, d), is_=("manual-metadata",), exclude_quarantined=True)
+
+
+@query
+def queue_miss(s, d):
+    return queue.queue(papers(s, d), is_=("enrich-miss",))
+
+
+@query
+def queue_suspicious(s, d):
+    return queue.queue(queue.with_text_length(papers(s, d), table(s, d, "paper_text")), is_=("suspicious",))
+
+
+@query
+def queue_quarantined(s, d):
+    return queue.queue(papers(s, d), is_=("broken",))
+
+
+@query
+def status_dashboard(s, d):
+    return queue.status(papers(s, d))
+
+
+@query
+def pending_counts(s, d):
+    return queue.pending(papers(s, d))
+
+
+@query
+def field_completeness(s, d):
+    return queue.completeness(papers(s, d))
+
+
+@query
+def gap_ids(s, d):
+    return queue.gaps(papers(s, d), "doi", attempted_only=True)
+
+
+@query
+def default_enrich(s, d):
+    return queue.default_enrich(papers(s, d), retry_misses=True)
+
+
+@query
+def to_process(s, d):
+    return queue.to_process(papers(s, d))
+
+
+@query
+def error_list(s, d):
+    return queue.errors(papers(s, d))
+
+
+@query
+def retry_ids(s, d):
+    return queue.retry(papers(s, d))
+
+
+@query
+def missing_ids(s, d):
+    asked = table(s, d, "chunks").select(F.col("chunk_id").alias("pos"), (F.col("doc_id") + F.col("chunk_index") * 7).alias("id"))
+    return queue.missing_ids(asked, papers(s, d))
+
+
+@query
+def resolve_identifiers(s, d):
+    return queue.resolve(table(s, d, "bib").where("citekey is not null").select(F.upper("citekey").alias("ident")).distinct(), papers(s, d))
+
+
+@query
+def display_title(s, d):
+    return queue.display(papers(s, d))
+
+
+@query
+def oneline(s, d):
+    return sinks.as_lines(papers(s, d).select("id", "filename", "year", "citekey"), "id", "filename", "year", "citekey")
+
+
+# --- works ---
+
+
+@query
+def works_hash(s, d):
+    p = papers(s, d).where("file_hash is not null")
+    return p.groupBy("file_hash").agg(F.min("id").alias("work_id"), F.count("*").alias("copies"))
+
+
+@query
+def works_members(s, d):
+    return works.works(papers(s, d))
+
+
+@query
+def works_components(s, d):
+    p = papers(s, d).select("id", "file_hash", F.lower("title").alias("t"), "year")
+    first = lambda k: p.where(" and ".join(f"{c} is not null" for c in k)).select("id", F.min("id").over(works_window(k)).alias("b"))
+    edges = first(["file_hash"]).union(first(["t", "year"])).select(F.col("id").alias("a"), "b")
+    return components(edges)
+
+
+def works_window(keys):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*keys)
+
+
+@query
+def works_canonical(s, d):
+    p = papers(s, d).where("file_hash is not null")
+    groups = p.select("id", F.min("id").over(works_window(["file_hash"])).alias("work_id"))
+    return works.canonical(papers(s, d), groups)
+
+
+# --- metadata and links ---
+
+
+@query
+def boilerplate_lines(s, d):
+    return metadata.boilerplate(table(s, d, "paper_text"))
+
+
+@query
+def title_containment(s, d):
+    text = table(s, d, "paper_text").select(F.col("paper_id").alias("id"), "raw_text")
+    return papers(s, d).join(text, "id", "left").select("id", metadata.containment("title", "raw_text").alias("score"))
+
+
+@query
+def verify_metadata(s, d):
+    return metadata.verify(papers(s, d), table(s, d, "paper_text"))
+
+
+@query
+def audit_links(s, d):
+    return metadata.audit(papers(s, d), table(s, d, "bib"), table(s, d, "paper_text"))
+
+
+@query
+def extract_doi(s, d):
+    return table(s, d, "paper_text").select("paper_id", metadata.printed_doi_column("raw_text").alias("doi"))
+
+
+@query
+def enrich_from_bib(s, d):
+    return metadata.enrich(papers(s, d), table(s, d, "bib").select("doi", "title", "authors", "year"), table(s, d, "paper_text"))
+
+
+@query
+def link_doi(s, d):
+    return link.by_doi(papers(s, d), table(s, d, "bib"))
+
+
+@query
+def link_file(s, d):
+    return link.by_file(papers(s, d), table(s, d, "bib"))
+
+
+@query
+def link_title_similarity(s, d):
+    return link.by_title(papers(s, d), table(s, d, "bib"))
+
+
+@query
+def link_greedy_phases(s, d):
+    return link.reconcile(papers(s, d), table(s, d, "bib"), with_titles=False)
+
+
+@query
+def bib_missing(s, d):
+    return link.missing(table(s, d, "bib"), papers(s, d))
+
+
+@query
+def citekey_base(s, d):
+    p = papers(s, d)
+    return p.select("id", link.citekey_base(F.regexp_extract("filename", r"^([A-Za-z]+)_", 1), F.col("year"), F.col("title")).alias("base"))
+
+
+@query
+def assign_citekeys(s, d):
+    p = papers(s, d)
+    wanted = p.where(~works.has_ink("citekey")).select("id", link.citekey_base(F.regexp_extract("filename", r"^([A-Za-z]+)_", 1), F.col("year"), F.col("title")).alias("base"))
+    return link.assign_citekeys(wanted, p.where(works.has_ink("citekey")).select("citekey"))
+
+
+@query
+def bib_export(s, d):
+    return link.bib_entries(papers(s, d), "pdf/")
+
+
+# --- chunks and pages ---
+
+
+@query
+def chunk_documents(s, d):
+    return chunking.chunk_documents(table(s, d, "paper_text"))
+
+
+@query
+def section_headers(s, d):
+    return chunking.section_heads(table(s, d, "paper_text"))
+
+
+@query
+def embedding_text(s, d):
+    p = papers(s, d).select(F.col("id").alias("doc_id"), "title")
+    return table(s, d, "chunks").join(p, "doc_id", "left").select("chunk_id", F.length(chunking.embedding_text()).cast("bigint").alias("n")).distinct()
+
+
+@query
+def page_fill(s, d):
+    return chunking.fill_pages(table(s, d, "chunks"))
+
+
+@query
+def read_range(s, d):
+    return chunking.chunks_between(table(s, d, "chunks"), 2, 4)
+
+
+@query
+def read_range_missing(s, d):
+    return chunking.missing_between(table(s, d, "chunks"), papers(s, d).select(F.col("id").alias("doc_id")), 2, 4)
+
+
+# --- ledgers ---
+
+
+def as_reviews(s, d):
+    """Opens as reviews: the verdict by the seconds spent."""
+    verdict = F.when(F.col("seconds").isNull(), "later").when(F.col("seconds") > 600, "key").when(F.col("seconds") > 200, "good").when(F.col("seconds") > 60, "later").otherwise("doubt")
+    return table(s, d, "opens").where("path is not null").select(F.col("path").alias("item"), F.col("open_id").alias("seq"), F.col("opened_at").alias("at"), verdict.alias("verdict")).distinct()
+
+
+@query
+def inbox_next_interval(s, d):
+    o = table(s, d, "opens").select("open_id", F.coalesce(F.col("seconds") / 60.0, F.lit(0.0)).alias("prev"), F.element_at(F.array(*(F.lit(v) for v in ledger.VERDICTS)), (F.col("open_id") % 5 + 1).cast("int")).alias("verdict"), (F.col("open_id") % 3).alias("reviews")).distinct()
+    return o.select("open_id", F.round(ledger.next_interval(F.col("prev"), F.col("verdict"), F.col("reviews")), 6).alias("days"))
+
+
+@query
+def inbox_replay(s, d):
+    return ledger.replay(as_reviews(s, d))
+
+
+@query
+def inbox_due(s, d):
+    return ledger.by_status(ledger.replay(as_reviews(s, d)), "due", F.lit("2026-01-01").cast("timestamp_ntz"))
+
+
+@query
+def opens_state(s, d):
+    return ledger.opens_state(table(s, d, "opens").distinct())
+
+
+@query
+def ledger_fold(s, d):
+    o = table(s, d, "opens").where("file_hash is not null").distinct()
+    return ledger.fold(o, ["file_hash"], "open_id").select("file_hash", F.col("open_id").alias("last_open"), "opened_by")
+
+
+@query
+def identity_match(s, d):
+    return identity.match(table(s, d, "opens").where("file_hash is not null and path is not null"), papers(s, d))
+
+
+@query
+def collection_intersection(s, d):
+    read = table(s, d, "opens").where("path is not null").select("path").distinct()
+    return papers(s, d).join(read, "path", "left_semi").where(works.has_ink("citekey")).select("id")
+
+
+# --- files, notes, catalog ---
+
+
+@query
+def prune_papers(s, d):
+    seen = table(s, d, "opens").where("path is not null").select("path").distinct()
+    kept, texts = library.prune(papers(s, d), seen, (table(s, d, "paper_text"), "paper_id"))
+    return texts.select("paper_id")
+
+
+@query
+def vault_refs(s, d):
+    notes = table(s, d, "bib").where("abstract is not null").select(F.col("entry_id").cast("string").alias("note"), F.col("abstract").alias("text"))
+    return library.references(notes)
+
+
+@query
+def schema_tables(s, d):
+    names = ("papers", "paper_text", "bib", "chunks", "chunk_vec", "opens")
+    columns = [table(s, d, n).limit(0) for n in names]
+    return s.createDataFrame([(n, f.name, f.dataType.simpleString()) for n, t in zip(names, columns) for f in t.schema.fields], "table_name string, column_name string, type string")
+
+
+@query
+def stream_opens_hourly(s, d):
+    return hourly(table(s, d, "opens").distinct()).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "opens")
 
 
 def core_queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+    return dict(QUERIES)
 
 
 def core_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
