@@ -204,6 +204,8 @@ def _comma_list(sk: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 b, j = parts[j + 1][1], j + 2
             elif kinds[j] in ("i", "g", "j") or kinds[j] == "s" and not whole:
                 b, j = parts[j][1], j + 1
+            if j < len(parts) and kinds[j] == "j":
+                b, j = parts[j][1], j + 1
         elif kinds[i] in ("f", "g") and j < len(parts) and kinds[j] in ("j", "i"):
             b, j = parts[j][1], j + 1
         out.append((a, b))
@@ -303,6 +305,8 @@ def resolve(sk: str | None) -> list[tuple[int, int, bool]]:
     if not sk:
         return []
     a, b = _trim(sk, 0, len(sk))
+    if a >= b:
+        return []
     if b - a >= 2 and sk[a] == "[" and sk[b - 1] == "]":
         out = []
         for p in _pieces(sk, a + 1, b - 1, lambda i: 1 if sk[i] == "," else 0):

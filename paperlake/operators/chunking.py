@@ -34,41 +34,45 @@ def _is_table(block: str) -> bool:
     return len(lines) > 1 and all(line.lstrip().startswith("|") for line in lines)
 
 
-def _units(body: str, most: int) -> list[str]:
-    """Paragraphs; those over the limit as sentences, lines, or pieces. Tables stay whole."""
+def _units(body: str, most: int) -> list[tuple[str, str]]:
+    """(what parts it from the one before, text): paragraphs; those over the limit as sentences, lines, pieces."""
     out = []
     for paragraph in filter(str.strip, _PARAGRAPH.split(body)):
-        paragraph = paragraph.strip()
+        paragraph, apart = paragraph.strip(), "\n\n"
         if len(paragraph) <= most or _is_table(paragraph):
-            out.append(paragraph)
+            out.append((apart, paragraph))
             continue
         for sentence in _SENTENCE.split(paragraph):
             for line in [sentence] if len(sentence) <= most else sentence.split("\n"):
                 while len(line) > most:
                     cut = line.rfind(" ", most // 2, most)
                     cut = cut if cut > 0 else most
-                    out.append(line[:cut].strip())
-                    line = line[cut:].strip()
+                    out.append((apart, line[:cut].strip()))
+                    line, apart = line[cut:].strip(), " "
                 if line.strip():
-                    out.append(line.strip())
+                    out.append((apart, line.strip()))
+                    apart = "\n" if len(sentence) > most else " "
+            apart = " "
     return out
 
 
-def _pack(units: list[str], most: int, overlap: int, least: int) -> list[str]:
+def _pack(units: list[tuple[str, str]], most: int, overlap: int, least: int) -> list[str]:
     chunks: list[str] = []
-    now = ""
-    for unit in units:
-        joined = f"{now}\n\n{unit}" if now else unit
+    now, tail = "", ""
+    for apart, unit in units:
+        joined = f"{now}{apart}{unit}" if now else unit
         if len(joined) <= most or not now:
             now = joined
             continue
         chunks.append(now)
         tail = now[-overlap:] if overlap else ""
         tail = tail[tail.find(" ") + 1 :] if " " in tail else ""
-        now = f"{tail} {unit}" if tail and len(tail) + 1 + len(unit) <= most else unit
+        tail = f"{tail}{apart}" if tail and len(tail) + len(apart) + len(unit) <= most else ""
+        now = tail + unit
     if now:
-        if chunks and len(now) < least and len(chunks[-1]) + 2 + len(units[-1]) <= most:
-            chunks[-1] += "\n\n" + units[-1]
+        fresh = now[len(tail) :]
+        if chunks and len(now) < least and len(chunks[-1]) + 2 + len(fresh) <= most:
+            chunks[-1] += units[-1][0] + fresh
         else:
             chunks.append(now)
     return chunks

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _ENTRY = re.compile(r"@(\w+)\s*\{\s*([^,\s{}]+)\s*,", re.S)
@@ -49,15 +49,16 @@ def parse_bibtex(text: str) -> list[dict]:
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """(bib_source, citekey, entry_type, title, authors, year, doi, file, abstract) of BibTeX files."""
-    columns = ["bib_source", "citekey", "entry_type", "title", "authors", "year", "doi", "file", "abstract"]
+    strings = ("bib_source", "citekey", "entry_type", "title", "authors")
+    schema = pa.schema([(c, pa.string()) for c in strings] + [("year", pa.int32())] + [(c, pa.string()) for c in ("doi", "file", "abstract")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"bib_source": s.rsplit("/", 1)[-1], **e} for s, t in zip(b["source"], b["value"]) for e in parse_bibtex(t)]
-            yield pd.DataFrame(rows, columns=columns).astype({"year": "Int32"})
+            rows = [{"bib_source": s.rsplit("/", 1)[-1], **e} for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for e in parse_bibtex(t)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), "value")
-    return files.mapInPandas(run, "bib_source string, citekey string, entry_type string, title string, authors string, year int, doi string, file string, abstract string")
+    return files.mapInArrow(run, "bib_source string, citekey string, entry_type string, title string, authors string, year int, doi string, file string, abstract string")
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
