@@ -32,6 +32,7 @@ SAMPLE_ROWS = 20_000  # rows that the centroids are fitted on; every row is inde
 MAX_CENTROIDS = 512
 CELL_TARGET = 8  # mean entries of a cell that K aims at
 CANDIDATES = 200  # entries that a traversal gathers at least
+ROUTED = 1_000  # vectors that a task routes at a time; each goes out a dozen times
 BLOCK = 4_096  # entries of one block of a large cell
 UNFOLD_BLOCK = 20_000  # copies of one class that a task unfolds
 
@@ -114,7 +115,7 @@ def nearest(
     size_k = int(min(size_k, MAX_CENTROIDS, len(points)))
     half = dim // 2
     centres = (_kmeans(points[:, :half], size_k), _kmeans(points[:, half:], size_k))
-    near = min(size_k, 64)
+    near = min(size_k, 32)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +131,7 @@ def nearest(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = shared.value.tolist()
         splits = np.maximum(1, -(-shared.value // block))
-        for batch in batches:
+        for batch in (b.slice(at, ROUTED) for b in batches for at in range(0, b.num_rows, ROUTED)):
             cid, rep = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             x = to_matrix(batch.column(0), dim)
             orders, dists, own = [], [], []
