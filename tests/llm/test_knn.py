@@ -29,7 +29,7 @@ def test_recall_and_copies(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 8))
     rows = [(n, (base[n % 150] + 0.15 * rng.normal(size=8)).astype("f4").tolist()) for n in range(1500)]
-    rows += [(5000 + n, [1.0, 0, 0, 0, 0, 0, 0, 0]) for n in range(60)]  # copies of one vector
+    rows += [(5000 + n, [1.0] + [0.0] * 7) for n in range(60)]  # copies of one vector
     rows += rows[:5] + [(9001, None), (9002, []), (9003, [0.0] * 8), (9004, [float("nan")] * 8), (9005, [1.0] * 3)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "chunk_id bigint, embedding array<float>, vec string")
     got = nearest(df, "chunk_id", "embedding", 8, k=5, candidates=400, sample_rows=800, block=64).collect()
