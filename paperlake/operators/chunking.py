@@ -242,7 +242,8 @@ def assign_pages(page_text: DataFrame, chunks: DataFrame) -> DataFrame:
         return out.astype({"page_start": "Int32", "page_end": "Int32"})
 
     schema = "doc_id bigint, chunk_index int, page_start int, page_end int, status string"
-    return page_text.groupBy("doc_id").cogroup(chunks.select("doc_id", "chunk_index", "text").groupBy("doc_id")).applyInPandas(run, schema)
+    held = chunks.join(page_text.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "chunk_index"])
+    return page_text.groupBy("doc_id").cogroup(held.select("doc_id", "chunk_index", "text").groupBy("doc_id")).applyInPandas(run, schema)
 
 
 def fill_pages(chunks: DataFrame) -> DataFrame:

@@ -106,6 +106,17 @@ def fts_multi_query(s, d):
     return search.bm25_batch(docs(s, d), items, limit=5)
 
 
+@query
+def fts_stemmed(s, d):
+    return search.bm25(search.stemmed(docs(s, d)), search.stem_query("deliberations OR legitimacies"))
+
+
+@query
+def search_snippets(s, d):
+    found = search.bm25(docs(s, d), KEYWORDS)
+    return search.snippets(found, table(s, d, "documents").select("doc_id", "text"), KEYWORDS)
+
+
 @query
 def index_postings(s, d):
     return search.term_stats(docs(s, d))
@@ -445,6 +456,18 @@ def embedding_text(s, d):
     return table(s, d, "chunks").join(p, "doc_id", "left").select("chunk_id", F.length(chunking.embedding_text()).cast("bigint").alias("n")).distinct()
 
 
+@query
+def page_map(s, d):
+    pages = table(s, d, "paper_text").where("raw_text is not null").select(F.col("paper_id").alias("doc_id"), F.posexplode(F.split("raw_text", "\f")).alias("page_no", "text"))
+    return chunking.assign_pages(pages, table(s, d, "chunks"))
+
+
+@query
+def chunk_context(s, d):
+    asked = table(s, d, "chunks").where("chunk_index = 3").select("doc_id", "chunk_index").distinct()
+    return chunking.context(table(s, d, "chunks"), asked)
+
+
 @query
 def page_fill(s, d):
     return chunking.fill_pages(table(s, d, "chunks"))
