@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from paperlake.functions import latex, titles
+from paperlake.functions.names import surnames
 from paperlake.functions.titles import normal_doi
+from paperlake.operators.metadata import containment
 from paperlake.operators.works import display_title, has_ink
 
 SIMILAR, CERTAIN = 0.85, 0.95
@@ -42,8 +44,8 @@ def bib_title(column: pd.Series) -> pd.Series:
     return column.map(lambda t: titles.ascii_title(latex.plain(t)) if t else "")
 
 
-def by_title(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(id, entry_id, ratio, confidence): the most similar bib title of each paper.
+def similar_titles(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(id, entry_id, ratio, guess, year, bib_year) of similar titles; guess: only printed on the paper.
 
     Candidates share two of their titles' four rarest words: titles of ratio 0.85 do, short
     of spelling mistakes in three of them.
@@ -65,7 +67,12 @@ def by_title(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> D
             batch["ratio"] = [titles.similarity(x, y) for x, y in zip(batch["title"], batch["bib_title"])]
             yield batch[batch["ratio"] >= threshold][["id", "entry_id", "ratio", "guess", "year", "bib_year"]]
 
-    scored = met.mapInPandas(ratio, "id bigint, entry_id bigint, ratio double, guess boolean, year int, bib_year int")
+    return met.mapInPandas(ratio, "id bigint, entry_id bigint, ratio double, guess boolean, year int, bib_year int")
+
+
+def by_title(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(id, entry_id, ratio, confidence): the most similar bib title of each paper."""
+    scored = similar_titles(papers, bib, threshold)
     best = Window.partitionBy("id").orderBy(F.desc("ratio"), "entry_id")
     top = scored.withColumn("r", F.row_number().over(best)).where("r = 1")
     sure = F.when(F.col("guess"), "uncertain").when((F.col("ratio") >= CERTAIN) | F.coalesce(F.col("year") == F.col("bib_year"), F.lit(False)), "certain").otherwise("likely")
@@ -138,3 +145,56 @@ def bib_entries(papers: DataFrame, prefix: str = "") -> DataFrame:
     )
     kind = F.when(has_ink("doi"), "article").otherwise("misc")
     return papers.where(has_ink("citekey")).select("id", F.concat(F.lit("@"), kind, F.lit("{"), F.col("citekey"), F.lit(",\n"), body, F.lit("\n}\n")).alias("entry"))
+
+
+def suggest(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, similar: float = 0.75, contained: float = 0.6, file_contained: float = 0.8) -> DataFrame:
+    """(id, entry_id, citekey, tier, alternates, owner_id): citekeys for papers without one.
+
+    Title evidence: a similar title that the text also holds. File evidence: surname and year
+    in the file name, and the title in the text. Both make it strong; owner_id is the paper
+    that already has the key.
+    """
+    open_papers = papers.where(~has_ink("citekey"))
+    text = paper_text.select(F.col("paper_id").alias("id"), "raw_text")
+    titled = similar_titles(open_papers, bib, similar).select("id", "entry_id", F.lit(1).alias("by_title"), F.lit(0).alias("by_file"))
+    surname = F.lower(F.regexp_extract("filename", r"^([A-Za-z]+)[-_ ]?\d{4}", 1))
+    year = F.regexp_extract("filename", r"^[A-Za-z]+[-_ ]?(\d{4})", 1)
+    files = open_papers.select("id", surname.alias("k"), year.alias("y")).where("k <> ''")
+    entries = bib.where("year is not null").select("entry_id", F.explode(surnames_column("authors")).alias("k"), F.col("year").cast("string").alias("y"))
+    filed = files.join(entries.distinct(), ["k", "y"]).select("id", "entry_id", F.lit(0).alias("by_title"), F.lit(1).alias("by_file"))
+    met = titled.union(filed).groupBy("id", "entry_id").agg(F.max("by_title").alias("t"), F.max("by_file").alias("f"))
+    scored = met.join(bib.select("entry_id", "citekey", "title"), "entry_id").join(text, "id").withColumn("held", containment("title", "raw_text"))
+    t, f = (F.col("t") == 1) & (F.col("held") >= contained), (F.col("f") == 1) & (F.col("held") >= file_contained)
+    ranked = scored.withColumn("tier", F.when(t & f, "strong").when(t, "title").when(f, "filename")).where("tier is not null")
+    order = F.array_position(F.array(F.lit("strong"), F.lit("title"), F.lit("filename")), F.col("tier"))
+    best = Window.partitionBy("id").orderBy(order, F.desc("held"), "entry_id")
+    top = ranked.withColumn("r", F.row_number().over(best)).withColumn("n", F.count("*").over(Window.partitionBy("id"))).where("r = 1")
+    owners = papers.where(has_ink("citekey")).groupBy(F.lower("citekey").alias("low")).agg(F.min("id").alias("owner_id"))
+    return top.join(owners, F.lower("citekey") == F.col("low"), "left").select("id", "entry_id", "citekey", "tier", (F.col("n") - 1).alias("alternates"), "owner_id")
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def surnames_column(column: pd.Series) -> pd.Series:
+    return column.map(surnames)
+
+
+def pull(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(id, action, changed): what taking metadata from the linked entry would do.
+
+    action is not_in_bib, manual, unverified (the text lacks the entry's title), no_change or
+    pull; changed lists the fields whose value would differ.
+    """
+    first = Window.partitionBy("key").orderBy("entry_id")
+    entries = bib.where(has_ink("citekey")).select("entry_id", F.lower("citekey").alias("key"), *(F.col(c).alias(f"b_{c}") for c in ("title", "year", "doi")))
+    entries = entries.withColumn("r", F.row_number().over(first)).where("r = 1")
+    linked = papers.where(has_ink("citekey")).withColumn("key", F.lower("citekey")).join(entries, "key", "left")
+    linked = linked.join(paper_text.select(F.col("paper_id").alias("id"), "raw_text"), "id", "left")
+    differs = lambda f: F.col(f"b_{f}").isNotNull() & ~F.col(f"b_{f}").eqNullSafe(F.col(f))
+    doi = has_ink("b_doi") & ~normal_doi(F.col("b_doi")).eqNullSafe(F.when(has_ink("doi"), normal_doi(F.col("doi"))))
+    changed = F.concat_ws(",", F.when(differs("title"), "title"), F.when(differs("year"), "year"), F.when(doi, "doi"))
+    manual = F.coalesce(F.col("metadata_source").ilike("%manual%") & ~F.col("metadata_source").ilike("bib:%"), F.lit(False))
+    action = (
+        F.when(F.col("entry_id").isNull(), "not_in_bib").when(manual, "manual").when(containment("b_title", "raw_text") < threshold, "unverified")
+        .when(changed == "", "no_change").otherwise("pull")
+    )
+    return linked.select("id", action.alias("action"), F.when(action == "pull", changed).otherwise("").alias("changed"))

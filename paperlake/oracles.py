@@ -169,6 +169,12 @@ ORACLES = {
       select id, entry_id, 'doi' as phase from a1 union all select id, entry_id, 'file' from a2""",
     "bib_missing": f"""select entry_id, citekey from bib where not exists (select 1 from papers p where {_INK.format(c='p.citekey')} and lower(p.citekey) = lower(bib.citekey))
       and not exists (select 1 from papers p where lower(p.filename) = {_FILE.replace('file,', 'bib.file,')}) and not exists (select 1 from papers p where {_INK.format(c='p.doi')} and {_INK.format(c='bib.doi')} and {_DOI.format(c='p.doi')} = {_DOI.format(c='bib.doi')})""",
+    "link_pull": f"""with e as (select * from (select entry_id, lower(citekey) as key, title as bt, year as by_, doi as bd, row_number() over (partition by lower(citekey) order by entry_id) as r from bib where {_INK.format(c='citekey')}) where r = 1),
+      l as (select p.id, e.entry_id, {_MANUAL} as manual, {_contain('bt', 'raw_text')} as held, concat_ws(',', case when bt is not null and bt is distinct from title then 'title' end, case when by_ is not null and by_ is distinct from year then 'year' end,
+        case when {_INK.format(c='bd')} and {_DOI.format(c='bd')} is distinct from (case when {_INK.format(c='doi')} then {_DOI.format(c='doi')} end) then 'doi' end) as changed
+        from papers p left join e on lower(p.citekey) = e.key left join paper_text t on t.paper_id = p.id where {_INK.format(c='p.citekey')}),
+      a as (select id, case when entry_id is null then 'not_in_bib' when manual then 'manual' when held < 0.6::double then 'unverified' when changed = '' then 'no_change' else 'pull' end as action, changed from l)
+      select id, action, case when action = 'pull' then changed else '' end as changed from a""",
     "citekey_base": f"select id, case when k = '' then 'unknown' else k end as base from (select id, {_KEYBASE} as k from papers)",
     "embedding_text": r"""select distinct chunk_id, length(concat_ws(' | ', case when trim(p.title) <> '' then p.title end, case when trim(section_header) <> '' then section_header end, case when trim(c.text) <> '' then c.text end)) as n from chunks c left join papers p on p.id = c.doc_id""",
     "page_fill": """with c as (select doc_id, chunk_index, any_value(page_start) as page_start, any_value(page_end) as page_end from chunks group by 1, 2)

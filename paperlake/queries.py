@@ -419,6 +419,16 @@ def bib_missing(s, d):
     return link.missing(table(s, d, "bib"), papers(s, d))
 
 
+@query
+def link_suggest(s, d):
+    return link.suggest(papers(s, d), table(s, d, "bib"), table(s, d, "paper_text"))
+
+
+@query
+def link_pull(s, d):
+    return link.pull(papers(s, d), table(s, d, "bib"), table(s, d, "paper_text"))
+
+
 @query
 def citekey_base(s, d):
     p = papers(s, d)
