@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
@@ -14,8 +14,10 @@ from paperlake.functions.names import surnames
 from paperlake.functions.titles import normal_doi
 from paperlake.operators.metadata import containment
 from paperlake.operators.works import display_title, has_ink
+from paperlake.plans.lineage import materialize
 
 SIMILAR, CERTAIN = 0.85, 0.95
+BLOCK = 2_000  # titles of a side, over all lengths, that are compared in one group
 # Words a citekey skips, characters BibTeX escapes.
 KEY_STOPWORDS = ("a", "an", "the", "of", "in", "on", "for", "and", "to")
 _ESCAPES = (("\\", r"\\textbackslash{}"), ("&", r"\\&"), ("%", r"\\%"), ("#", r"\\#"), ("_", r"\\_"))
@@ -44,30 +46,70 @@ def bib_title(column: pd.Series) -> pd.Series:
     return column.map(lambda t: titles.ascii_title(latex.plain(t)) if t else "")
 
 
-def similar_titles(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(id, entry_id, ratio, guess, year, bib_year) of similar titles; guess: only printed on the paper.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _common(a: str, places: dict[str, int]) -> int:
+    """Length of the longest common subsequence of a and the text whose letters' places are bits."""
+    rest = whole = (1 << places[""]) - 1
+    for c in a:
+        hit = rest & places.get(c, 0)
+        rest = (rest + hit | rest - hit) & whole
+    return places[""] - rest.bit_count()
+
+
+def _places(text: str) -> dict[str, int]:
+    out = {"": len(text)}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
 
-    Candidates share two of their titles' four rarest words: titles of ratio 0.85 do, short
-    of spelling mistakes in three of them.
+
+def _close(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(title, bib_title, ratio) of all distinct titles of that ratio or more.
+
+    Nothing is lost: of the pairs whose lengths allow the ratio, only those are left out whose
+    letters, or whose longest common subsequence, are too few for it.
     """
+    left, right = materialize(left.select("title").distinct(), "titles-left"), materialize(right.select("bib_title").distinct(), "titles-right")
+    step = math.log((2 - threshold) / threshold) * (1 + 1e-6)  # lengths of similar titles are one such step apart at most
+    rows, columns = (max(1, -(-t.count() // BLOCK)) for t in (left, right))
+    size = lambda c: F.floor(F.log(F.length(c).cast("double")) / step)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = left.withColumn("s", size("title")).withColumn("i", part("title", rows)).withColumn("j", every(columns))
+    b = right.withColumn("s", F.explode(F.array(*(size("bib_title") + d for d in (-1, 0, 1))))).withColumn("j", part("bib_title", columns)).withColumn("i", every(rows))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        ts, us = x["title"].tolist(), y["bib_title"].tolist()
+        out: list[tuple[str, str, float]] = []
+        if ts and us:
+            letters = np.array([[u.count(c) for c in _LETTERS] for u in us], dtype=np.int16)
+            sizes, places = letters.sum(1), [_places(u) for u in us]
+            for t in ts:
+                most = np.minimum(letters, np.array([t.count(c) for c in _LETTERS], dtype=np.int16)).sum(1)
+                for k in np.flatnonzero(2.0 * most / (len(t) + sizes) >= threshold):
+                    if 2.0 * _common(t, places[k]) / (len(t) + len(us[k])) >= threshold and (ratio := titles.similarity(t, us[k])) >= threshold:
+                        out.append((t, us[k], ratio))
+        return pd.DataFrame(out, columns=["title", "bib_title", "ratio"])
+
+    return p.groupBy("s", "i", "j").cogroup(b.groupBy("s", "i", "j")).applyInPandas(compare, "title string, bib_title string, ratio double")
+
+
+def _titled(papers: DataFrame, bib: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = papers.select("id", "year", (~has_ink("title")).alias("guess"), bib_title(display_title()).alias("title")).where("title <> ''")
     b = bib.select("entry_id", F.col("year").alias("bib_year"), bib_title("title").alias("bib_title")).where("bib_title <> ''")
-    count = p.select(F.explode(F.array_distinct(F.split("title", " "))).alias("w")).union(b.select(F.explode(F.array_distinct(F.split("bib_title", " "))).alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
-
-    def keys(rows: DataFrame, i: str, t: str) -> DataFrame:
-        words = rows.select(i, F.explode(F.array_distinct(F.split(t, " "))).alias("w")).join(count, "w")
-        rare = words.withColumn("r", F.row_number().over(Window.partitionBy(i).orderBy("n", "w"))).where("r <= 4").groupBy(i).agg(F.sort_array(F.collect_list("w")).alias("w"))
-        pairs = F.array_compact(F.array(*(F.when(F.size("w") > y, F.xxhash64(F.col("w")[x], F.col("w")[y])) for x, y in combinations(range(4), 2)), F.when(F.size("w") == 1, F.xxhash64(F.col("w")[0]))))
-        return rows.join(rare, i).select(*rows.columns, F.explode(pairs).alias("key"))
+    return p, b
 
-    met = keys(p, "id", "title").join(keys(b, "entry_id", "bib_title"), "key").drop("key").distinct()
 
-    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["ratio"] = [titles.similarity(x, y) for x, y in zip(batch["title"], batch["bib_title"])]
-            yield batch[batch["ratio"] >= threshold][["id", "entry_id", "ratio", "guess", "year", "bib_year"]]
+def similar_titles(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(id, entry_id, ratio, guess, year, bib_year) of similar titles; guess: only printed on the paper.
 
-    return met.mapInPandas(ratio, "id bigint, entry_id bigint, ratio double, guess boolean, year int, bib_year int")
+    Complete: equal to comparing every paper with every entry.
+    """
+    p, b = _titled(papers, bib)
+    met = _close(p, b, threshold).join(p, "title").join(b, "bib_title")
+    return met.select("id", "entry_id", "ratio", "guess", "year", "bib_year").distinct()
 
 
 def by_title(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:

@@ -199,3 +199,24 @@ def test_filters_are_checked():
 def test_sinks(spark):
     df = spark.createDataFrame([(0, 2, 7), (0, 1, 9), (1, 1, 7)], "q_idx int, rank int, id int")
     assert [r.id for r in sinks.first_seen(df).collect()] == [9, 7] and sinks.select_fields(df, ["id", "x"])[1] == ["x"]
+
+
+def test_similar_titles_are_complete(spark, monkeypatch):
+    monkeypatch.setattr(link, "BLOCK", 20, raising=False)  # several groups a length
+    rng = random.Random(5)
+    words = "turnout ballot quorum glacier permafrost tariff orchard referee statute marathon irrigation verdict".split()
+    clean = [" ".join(rng.sample(words, rng.randrange(1, 8))) for _ in range(60)]
+
+    def slips(t):
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", "x", "q ", t[k]]) + t[k + 1 :]
+        return t
+
+    papers, bib = [(n, slips(t)) for n, t in enumerate(clean)], [(n, slips(t)) for n, t in enumerate(clean)]
+    p = spark.createDataFrame([(i, t, None, "", 2000) for i, t in papers], "id bigint, title string, title_from_layout string, filename string, year int")
+    b = spark.createDataFrame([(i, t, 2000) for i, t in bib], "entry_id bigint, title string, year int")
+    for least in (0.75, 0.85):
+        want = {(i, j) for i, t in papers for j, u in bib if titles.similarity(titles.ascii_title(t), titles.ascii_title(u)) >= least}
+        got = [(r.id, r.entry_id) for r in link.similar_titles(p, b, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
