@@ -17,6 +17,7 @@ from paperlake.operators.works import display_title, has_ink
 from paperlake.plans.lineage import materialize
 
 SIMILAR, CERTAIN = 0.85, 0.95
+CUT_SHORT = 12  # least characters of a title that counts as the start of a longer one
 BLOCK = 2_000  # titles of a side, over all lengths, that are compared in one group
 # Words a citekey skips, characters BibTeX escapes.
 KEY_STOPWORDS = ("a", "an", "the", "of", "in", "on", "for", "and", "to")
@@ -112,6 +113,15 @@ def similar_titles(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR
     return met.select("id", "entry_id", "ratio", "guess", "year", "bib_year").distinct()
 
 
+def cut_titles(papers: DataFrame, bib: DataFrame) -> DataFrame:
+    """(id, entry_id): the paper's title is the start of the entry's title."""
+    p, b = _titled(papers, bib)
+    start = lambda c: F.substring(c, 1, CUT_SHORT).alias("start")
+    p = p.where(F.length("title") >= CUT_SHORT).select("id", "title", start("title"))
+    b = b.where(F.length("bib_title") >= CUT_SHORT).select("entry_id", "bib_title", start("bib_title"))
+    return p.join(b, "start").where(F.startswith("bib_title", "title")).select("id", "entry_id").distinct()
+
+
 def by_title(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(id, entry_id, ratio, confidence): the most similar bib title of each paper."""
     scored = similar_titles(papers, bib, threshold)
@@ -192,13 +202,13 @@ def bib_entries(papers: DataFrame, prefix: str = "") -> DataFrame:
 def suggest(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, similar: float = 0.75, contained: float = 0.6, file_contained: float = 0.8) -> DataFrame:
     """(id, entry_id, citekey, tier, alternates, owner_id): citekeys for papers without one.
 
-    Title evidence: a similar title that the text also holds. File evidence: surname and year
+    Title evidence: a similar title, or one that starts with the paper's, that the text also holds. File evidence: surname and year
     in the file name, and the title in the text. Both make it strong; owner_id is the paper
     that already has the key.
     """
     open_papers = papers.where(~has_ink("citekey"))
     text = paper_text.select(F.col("paper_id").alias("id"), "raw_text")
-    titled = similar_titles(open_papers, bib, similar).select("id", "entry_id", F.lit(1).alias("by_title"), F.lit(0).alias("by_file"))
+    titled = similar_titles(open_papers, bib, similar).select("id", "entry_id").union(cut_titles(open_papers, bib)).select("id", "entry_id", F.lit(1).alias("by_title"), F.lit(0).alias("by_file"))
     surname = F.lower(F.regexp_extract("filename", r"^([A-Za-z]+)[-_ ]?\d{4}", 1))
     year = F.regexp_extract("filename", r"^[A-Za-z]+[-_ ]?(\d{4})", 1)
     files = open_papers.select("id", surname.alias("k"), year.alias("y")).where("k <> ''")

@@ -220,3 +220,11 @@ def test_similar_titles_are_complete(spark, monkeypatch):
         want = {(i, j) for i, t in papers for j, u in bib if titles.similarity(titles.ascii_title(t), titles.ascii_title(u)) >= least}
         got = [(r.id, r.entry_id) for r in link.similar_titles(p, b, least).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_suggest_titles_cut_short(spark):
+    whole = "Glacier and permafrost: a long report about the northern valleys of Dalesk and their people"
+    papers = spark.createDataFrame([(1, "Glacier and permafrost", None, "x.pdf", 2000, None), (2, "Glacier", None, "y.pdf", 2000, None)], "id bigint, title string, title_from_layout string, filename string, year int, citekey string")
+    bib = spark.createDataFrame([(10, "doe2000glacier", whole, "Doe, Jane", 2000)], "entry_id bigint, citekey string, title string, authors string, year int")
+    text = spark.createDataFrame([(1, whole), (2, whole)], "paper_id bigint, raw_text string")
+    assert [(r.id, r.entry_id, r.tier) for r in link.suggest(papers, bib, text).collect()] == [(1, 10, "title")]
