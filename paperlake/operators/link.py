@@ -162,10 +162,12 @@ def citekey_base(surname: Column, year: Column, title: Column) -> Column:
 
 
 def suffix(n: Column) -> Column:
-    """"" for 0, then a, b, … z, aa, ab, …"""
-    m = n - 1
-    low = F.chr((m % 26 + 97).cast("int"))
-    return F.when(n <= 0, "").when(n <= 26, low).otherwise(F.concat(F.chr((F.floor(m / 26) - 1 + 97).cast("int")), low))
+    """"" for 0, then a, b, … z, aa, ab, … zz, aaa, …: up to 7 letters, more than an int counts"""
+    letters = []
+    for _ in range(7):
+        letters.insert(0, F.when(n > 0, F.chr(((n - 1) % 26 + 97).cast("int"))).otherwise(""))
+        n = F.floor((n - 1) / 26)
+    return F.concat(*letters)
 
 
 def assign_citekeys(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -173,7 +175,10 @@ def assign_citekeys(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     used = taken.select(F.lower("citekey").alias("k")).where("k is not null").distinct()
     base = wanted.withColumn("low", F.lower("base"))
     bases = base.groupBy("low").agg(F.count("*").alias("n"))
-    slots = bases.join(used.select(F.regexp_extract("k", "^(.*?[0-9]+[a-z]*?)[a-z]?$", 1).alias("_x")).groupBy("_x").agg(F.count("*").alias("u")), F.col("low") == F.col("_x"), "left")
+    # each taken key without its last letters, 0 to 7 of them: the bases that it may take a place of
+    tail = F.least(F.lit(7), F.length(F.regexp_extract("k", "[a-z]*$", 0)))
+    starts = used.select(F.explode(F.transform(F.sequence(F.lit(0), tail), lambda i: F.substring(F.col("k"), F.lit(1), F.length("k") - i))).alias("_x"))
+    slots = bases.join(starts.groupBy("_x").agg(F.count("*").alias("u")), F.col("low") == F.col("_x"), "left")
     slots = slots.select("low", F.explode(F.sequence(F.lit(0), (F.col("n") + F.coalesce("u", F.lit(0)) + 1).cast("int"))).alias("s"))
     free = slots.withColumn("k", F.concat("low", suffix(F.col("s")))).join(used, "k", "left_anti")
     free = free.withColumn("place", F.row_number().over(Window.partitionBy("low").orderBy("s")))

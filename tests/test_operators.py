@@ -228,3 +228,11 @@ def test_suggest_titles_cut_short(spark):
     bib = spark.createDataFrame([(10, "doe2000glacier", whole, "Doe, Jane", 2000)], "entry_id bigint, citekey string, title string, authors string, year int")
     text = spark.createDataFrame([(1, whole), (2, whole)], "paper_id bigint, raw_text string")
     assert [(r.id, r.entry_id, r.tier) for r in link.suggest(papers, bib, text).collect()] == [(1, 10, "title")]
+
+
+def test_many_citekeys_of_one_base(spark):
+    wanted = spark.range(1000).selectExpr("id", "'unknown' as base")
+    taken = spark.createDataFrame([("unknown",), ("unknowna",), ("unknownb",), ("unknownaa",)], "citekey string")
+    got = [r.citekey for r in link.assign_citekeys(wanted, taken).orderBy("id").collect()]
+    assert len(set(got)) == 1000 and got[:2] == ["unknownc", "unknownd"] and got[-1] == "unknownalo"
+    assert all(k.isalpha() and k.islower() and k.isascii() for k in got)
