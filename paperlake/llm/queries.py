@@ -63,8 +63,10 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_paragraphs(spark: SparkSession, root: str) -> DataFrame:
-    """The texts repaired into continuous paragraphs."""
-    return repaired(table(spark, root, "paper_text")).select(F.col("id").alias("paper_id"), "text")
+    """The texts repaired into continuous paragraphs; null and empty ones stay so."""
+    texts = table(spark, root, "paper_text")
+    empty = texts.where("raw_text is null or raw_text = ''").select(F.col("paper_id").cast("bigint"), F.col("raw_text").cast("string").alias("text"))
+    return repaired(texts).select(F.col("id").alias("paper_id"), "text").unionAll(empty)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

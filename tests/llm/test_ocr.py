@@ -1,4 +1,5 @@
 from paperlake.llm.ocr import candidates, furniture, repair, repaired
+from paperlake.llm.queries import p4_paragraphs
 
 BODY = "The debate over the harvest has rarely asked who records the orchard and the number of trees."
 
@@ -28,3 +29,9 @@ def test_repair(spark):
     joined = {r["id"]: r for r in repaired(df, max_broadcast=0).collect()}
     assert {(c.line_no, c.kind) for c in joined[99].cases} == cases
     assert repaired(df.limit(0)).count() == 0
+
+
+def test_empty_texts_stay(spark, tmp_path):
+    rows = [(1, BODY), (2, None), (3, "")]
+    spark.createDataFrame(rows, "paper_id bigint, raw_text string").write.parquet(str(tmp_path / "paper_text.parquet"))
+    assert sorted((r.paper_id, r.text) for r in p4_paragraphs(spark, str(tmp_path)).collect()) == rows
