@@ -1,17 +1,19 @@
 """Markup residue: HTML, MediaWiki, LaTeX and Markdown to clean text, and which kinds there were.
 
+The residue is found by template deduction over the pages of a host (see ``template``):
+equivalence classes of sign tokens, nested into the host's template; the text between them
+is the slots. A scanner then names the language of a piece of residue, once for each
+distinct skeleton of pieces (words masked), and renders the blocks that hold a piece. It has
+an ordered list of rules (pattern, replacement) for each language; TeX quotes are read
+before wiki quote marks, and escaped markup is unescaped before tags are read, so no piece
+is read as two languages. A piece that no rule knows ("n > 30", "[sic]") is no residue.
+
 The clean text is plain paragraphs; headings show as "# ", list items as "- ", table rows
 with " | ", fenced code as it was, formulas as $...$.
 
-Template deduction over same-host pages (equivalence classes of tokens) cannot tell the
-kinds of residue here: most pieces stand alone in one field, unclosed or broken, and repeat
-in no template. A scanner works instead: each language has an ordered list of rules
-(pattern, replacement), applied to the text between code blocks; a language is present if
-one of its rules applied. TeX quotes are read before wiki quote marks, and escaped
-markup is unescaped before tags are read, so no piece is read as two languages.
-
 Defined results: null gives null and no kind; empty and very long texts are whole; nested
-markup is read from the inside out; repeated rows give one case in p2_found.
+markup is read from the inside out; a null host is a host of its own; repeated rows give one
+case in p2_found; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import re
 from collections.abc import Callable, Iterator
 from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paperlake.functions import latex
+from paperlake.llm.template import EVERY, Template, deduce, pieces, skeleton
+from paperlake.plans.lineage import materialize
 
 KINDS = ("html", "wiki", "latex", "markdown")
 _CODE = re.compile(r"^(?P<fence>[ ]{0,3}(?P<mark>`{3,}|~{3,})[^\n]*\n(?:.*?\n)?[ ]{0,3}(?P=mark)[`~]*[^\S\n]*)$|^[ ]{0,3}(?:`{3,}|~{3,})[^`\n]*\n.*\Z", re.M | re.S)
@@ -200,6 +204,11 @@ def _clean_part(text: str, found: _Found, markdown_counts: bool) -> str:
     text = _MD_QUOTE.sub("", text)
     for n, formula in enumerate(formulas):
         text = text.replace(f"\x10{n}\x11", formula)
+    return _spaces(text)
+
+
+def _spaces(text: str) -> str:
+    """Without spaces at line ends, double spaces and more than one empty line."""
     if " \n" in text or "\t" in text:
         text = re.sub(r"[^\S\n]+\n", "\n", text)
     if "  " in text:
@@ -228,19 +237,131 @@ def clean_markup(text: str | None, markdown_counts: bool = True) -> tuple[str |
     return "".join(out).strip(), set(found)
 
 
-def markup(df: DataFrame, id_col: str, text_col: str, markdown_counts: bool = True) -> DataFrame:
-    """(record_id, clean, kinds): the clean text of every row and the sorted kinds of residue it had."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+MAX_BROADCAST = 200_000  # classes sent to all executors, some 100 bytes each
+SALTS = 16
+SKELETONS = 200_000  # remembered by a task
+_BLANK = re.compile(r"\n[^\S\n]*\n\s*")
+
+
+def code_ranges(text: str) -> list[tuple[int, int]]:
+    """Fenced code of a text."""
+    return [m.span() for m in _CODE.finditer(text)] if "```" in text or "~~~" in text else []
+
+
+class Reader:
+    """Reads texts by a host's template; names are remembered by skeleton."""
+
+    def __init__(self, template: Template, names: dict | None = None):
+        self.template, self.names = template, {} if names is None else names
+
+    def kinds(self, text: str, found: list, skip: list, markdown_counts: bool) -> dict[str, str]:
+        """The kinds of residue, each with the best way (class, single, slot) that found it."""
+        out = {"markdown": "class"} if skip and markdown_counts else {}
+        for a, b, way, tokens in found:
+            key = (skeleton(text, a, b, tokens), markdown_counts)
+            names = self.names.get(key)
+            if names is None:
+                if len(self.names) >= SKELETONS:
+                    self.names.clear()
+                names = self.names[key] = tuple(clean_markup(*key)[1])
+            for kind in names:
+                out[kind] = min(out.get(kind, way), way)
+        return out
+
+    def read(self, text: str | None, markdown_counts: bool = True, with_text: bool = True) -> tuple[str | None, dict[str, str]]:
+        """(clean text, kinds with their ways) of one text."""
+        if text is None:
+            return None, {}
+        skip = code_ranges(text)
+        found = pieces(text, self.template, skip)
+        kinds = self.kinds(text, found, skip, markdown_counts)
+        return (_rendered(text, found, skip, markdown_counts) if with_text else ""), kinds
+
+
+def _rendered(text: str, found: list, skip: list[tuple[int, int]], markdown_counts: bool) -> str:
+    """The text with the blocks rendered that hold a piece; other blocks and code stay."""
+    held = [(a, b) for a, b, _, _ in found]
+    out, at = [], 0
+    for a, b in [*skip, (len(text), len(text))]:
+        cuts, n, edge = [at], 0, 0
+        for m in _BLANK.finditer(text, at, a):
+            while n < len(held) and held[n][0] < m.end():
+                edge = max(edge, held[n][1])
+                n += 1
+            if edge <= m.start():
+                cuts.append(m.end())
+        done, n = [], 0
+        for x, y in zip(cuts, [*cuts[1:], a]):
+            while n < len(held) and held[n][1] <= x:
+                n += 1
+            block = text[x:y]
+            if n < len(held) and held[n][0] < y:
+                tail = block[len(block.rstrip()) :]
+                block = _clean_part(block.rstrip(), _Found(), markdown_counts) + tail
+            done.append(block)
+        out += [_spaces("".join(done)), text[a:b]]
+        at = b
+    return "".join(out).strip()
+
+
+_RESULT = "field string, record_id bigint, clean string, kinds array<string>, ways array<string>"
+
+
+def residue(rows: DataFrame, with_text: bool = True, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(field, record_id, clean, kinds, ways) of rows (field, record_id, host, text, counts).
+
+    counts: the field should hold no Markdown. ways tells for each kind whether a class of two
+    tokens, a class of one or a slot with unexplained signs gave it.
+    """
+    rows = rows.select("field", F.col("record_id").cast("bigint").alias("record_id"), F.concat_ws("/", "field", F.coalesce("host", F.lit(""))).alias("host"), F.col("text").cast("string").alias("text"), "counts")
+    classes = materialize(deduce(rows, code_ranges).select("host", "first", "second"), "templates")
+    small = classes.limit(max_broadcast + 1).count() <= max_broadcast
+    shared = None
+    if small:
+        by_host: dict[str, list[tuple[str, str | None]]] = {}
+        for host, first, second in classes.collect():
+            by_host.setdefault(host, []).append((first, second))
+        shared = rows.sparkSession.sparkContext.broadcast(by_host)
+    else:
+        held = classes.groupBy("host").agg(F.collect_list(F.struct("first", "second")).alias("own"))
+        salts = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        every = salts.where(F.col("host") == EVERY).select("salt", F.col("own").alias("every"))
+        rows = rows.withColumn("salt", F.pmod(F.hash("record_id"), F.lit(SALTS))).join(salts, ["host", "salt"], "left").join(every, "salt", "left")
+        rows = rows.select("field", "record_id", "host", "text", "counts", "own", "every")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict = {}
+        readers: dict = {}
         for batch in batches:
-            got = [clean_markup(t, markdown_counts) for t in batch["text"]]
-            yield pd.DataFrame({"record_id": batch["record_id"], "clean": [c for c, _ in got], "kinds": [sorted(k) for _, k in got]})
-
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("record_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInPandas(run, "record_id bigint, clean string, kinds array<string>")
-
-
-def found_kinds(df: DataFrame, id_col: str, text_col: str, field: str, markdown_counts: bool) -> DataFrame:
+            data = [c.to_pylist() for c in batch.columns]
+            cleans, kinds, ways = [], [], []
+            for n, (host, text, counts) in enumerate(zip(data[2], data[3], data[4])):
+                reader = readers.get(host)
+                if reader is None:
+                    if shared is not None:
+                        own = shared.value.get(EVERY, []) + shared.value.get(host, [])
+                    else:
+                        own = [(c["first"], c["second"]) for c in (data[6][n] or []) + (data[5][n] or [])]
+                    reader = readers[host] = Reader(Template(own), names)
+                clean, found = reader.read(text, counts, with_text)
+                cleans.append(clean if with_text else None)
+                kinds.append(sorted(found))
+                ways.append([found[k] for k in kinds[-1]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cleans, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(ways, pa.list_(pa.string()))],
+                names=["field", "record_id", "clean", "kinds", "ways"],
+            )
+
+    return rows.mapInArrow(run, _RESULT)
+
+
+def fields(df: DataFrame, id_col: str, text_col: str, field: str, markdown_counts: bool = True, host_col: str | None = None) -> DataFrame:
+    """The rows of one field as ``residue`` takes them."""
+    host = F.col(f"`{host_col}`").cast("string") if host_col else F.lit(None).cast("string")
+    return df.select(F.lit(field).alias("field"), F.col(f"`{id_col}`").cast("bigint").alias("record_id"), host.alias("host"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(markdown_counts).alias("counts"))
+
+
+def found_kinds(rows: DataFrame) -> DataFrame:
     """(field, record_id, kind) of every field with residue."""
-    got = markup(df.where(F.col(f"`{text_col}`").isNotNull()), id_col, text_col, markdown_counts)
-    return got.select(F.lit(field).alias("field"), "record_id", F.explode("kinds").alias("kind")).distinct()
+    got = residue(rows.where("text is not null"), with_text=False)
+    return got.select("field", "record_id", F.explode("kinds").alias("kind")).distinct()

@@ -11,7 +11,7 @@ from paperlake.llm.bpe import encode
 from paperlake.llm.knn import nearest
 from paperlake.llm.leaks import leaks
 from paperlake.llm.linkage import link_works
-from paperlake.llm.markup import found_kinds, markup
+from paperlake.llm.markup import fields, found_kinds, residue
 from paperlake.llm.ocr import repaired
 from paperlake.llm.splitting import split_chunks, split_items
 from paperlake.llm.subjects import subjects_of
@@ -28,22 +28,24 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near.where(a != b).select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
 
 
-def _markup_fields(spark: SparkSession, root: str):
+def _markup_fields(spark: SparkSession, root: str) -> DataFrame:
     bib, text = table(spark, root, "bib"), table(spark, root, "paper_text")
-    yield bib, "entry_id", "title", "bib.title", True
-    yield bib, "entry_id", "abstract", "bib.abstract", True
-    yield text, "paper_id", "markdown", "paper_text.markdown", False
+    parts = [
+        fields(bib, "entry_id", "title", "bib.title", True, "bib_source"),
+        fields(bib, "entry_id", "abstract", "bib.abstract", True, "bib_source"),
+        fields(text, "paper_id", "markdown", "paper_text.markdown", False),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """The kinds of markup residue in bib.title, bib.abstract and paper_text.markdown."""
-    return reduce(DataFrame.unionByName, [found_kinds(*x) for x in _markup_fields(spark, root)])
+    return found_kinds(_markup_fields(spark, root))
 
 
 def p2_clean(spark: SparkSession, root: str) -> DataFrame:
     """The clean text of the three fields."""
-    parts = [markup(df, i, c, m).select(F.lit(f).alias("field"), "record_id", "clean") for df, i, c, f, m in _markup_fields(spark, root)]
-    return reduce(DataFrame.unionByName, parts)
+    return residue(_markup_fields(spark, root)).select("field", "record_id", "clean")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
