@@ -60,7 +60,7 @@ def p3_links(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Lines of paper_text.raw_text that are noisy, and how."""
-    got = repaired(table(spark, root, "paper_text"), with_text=False)
+    got = repaired(table(spark, root, "paper_text"), with_text=False, papers=table(spark, root, "papers"))
     return got.select(F.col("id").alias("paper_id"), F.explode("cases").alias("c")).select("paper_id", "c.line_no", "c.kind").distinct()
 
 
@@ -68,7 +68,7 @@ def p4_paragraphs(spark: SparkSession, root: str) -> DataFrame:
     """The texts repaired into continuous paragraphs; null and empty ones stay so."""
     texts = table(spark, root, "paper_text")
     empty = texts.where("raw_text is null or raw_text = ''").select(F.col("paper_id").cast("bigint"), F.col("raw_text").cast("string").alias("text"))
-    return repaired(texts).select(F.col("id").alias("paper_id"), "text").unionAll(empty)
+    return repaired(texts, papers=table(spark, root, "papers")).select(F.col("id").alias("paper_id"), "text").unionAll(empty)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

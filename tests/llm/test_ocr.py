@@ -1,4 +1,4 @@
-from paperlake.llm.ocr import candidates, furniture, repair, repaired
+from paperlake.llm.ocr import candidates, furniture, repaired
 from paperlake.llm.queries import p4_paragraphs
 
 BODY = "The debate over the harvest has rarely asked who records the orchard and the number of trees."
@@ -26,12 +26,28 @@ def test_repair(spark):
     assert "The debate over the harvest has rarely asked who records the orchard in 1984." in text
     assert "Another fine paragraph with H2O and x86." in text
     assert not rows[0].cases and 100 not in rows
-    joined = {r["id"]: r for r in repaired(df, max_broadcast=0).collect()}
-    assert {(c.line_no, c.kind) for c in joined[99].cases} == cases
+    again = repaired(df, with_text=False, longest=None, papers=spark.createDataFrame([(99, True, None)], "id bigint, is_scanned boolean, needs_ocr boolean")).collect()
+    assert [{(c.line_no, c.kind) for c in r.cases} for r in again if r.id == 99] == [cases, cases]
     assert repaired(df.limit(0)).count() == 0
 
 
+def test_a_word_broken_around_a_page_number(spark):
+    noisy = "Orchard notes of the north\nAnn Berg\n\nThe debate over the har-\n- 3 -\nOrchard notes of\nvcst has rarely asked who records it."
+    df = spark.createDataFrame([(n, "\n".join([BODY] * 40)) for n in range(20)] + [(99, noisy)], "paper_id bigint, raw_text string")
+    row = next(r for r in repaired(df).collect() if r.id == 99)
+    assert "over the harvest has rarely" in row.text and (7, "wrong_char") in {(c.line_no, c.kind) for c in row.cases}
+
+
+def test_pair_counts_decide(spark):
+    """Two candidates of equal counts: the one that the corpus writes beside the neighbour wins."""
+    texts = ["we saw the bat fly over the barn and sleep by day"] * 30 + ["they wore the hat with a wide brim in the sun"] * 30
+    df = spark.createDataFrame([(n, "Head of text\n\n" + t) for n, t in enumerate(texts)] + [(99, "Head of text\n\nnow the 6at fly and the lhat wide")], "paper_id bigint, raw_text string")
+    row = next(r for r in repaired(df).collect() if r.id == 99)
+    assert "the bat fly" in row.text
+
+
 def test_empty_texts_stay(spark, tmp_path):
     rows = [(1, BODY), (2, None), (3, "")]
     spark.createDataFrame(rows, "paper_id bigint, raw_text string").write.parquet(str(tmp_path / "paper_text.parquet"))
+    spark.createDataFrame([(1, None, True)], "id bigint, is_scanned boolean, needs_ocr boolean").write.parquet(str(tmp_path / "papers.parquet"))
     assert sorted((r.paper_id, r.text) for r in p4_paragraphs(spark, str(tmp_path)).collect()) == rows
