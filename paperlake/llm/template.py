@@ -30,6 +30,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from paperlake.plans.lineage import materialize
+
 SUPPORT, SHARE, REACH = 3, 0.6, 8
 EVERY = "*"  # stands for all hosts together
 
@@ -129,7 +131,8 @@ def deduce(pages: DataFrame, code=None, support: int = SUPPORT, share: float = S
             yield pa.RecordBatch.from_arrays([*columns, pa.array([counts[k] for k in keys], pa.int64())], names=["host", "first", "second", "n"])
 
     texts = pages.where("text is not null").select(F.coalesce("host", F.lit("")).alias("host"), "text")
-    counted = texts.mapInArrow(run, "host string, first string, second string, n bigint").groupBy("host", "first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    counted = texts.mapInArrow(run, "host string, first string, second string, n bigint").groupBy("host", "first", "second").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.where(F.col("n") >= support), "template-counts")
     # pages of each token stand beside its pairs: one window by first, one by second
     alone = F.max(F.when(F.col("second").isNull(), F.col("n")))
     by_first = counted.withColumn("n1", alone.over(Window.partitionBy("host", "first")))
