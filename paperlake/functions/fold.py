@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 
 # Letters without a decomposition and their plain forms.
 _PLAIN = str.maketrans({"ø": "o", "đ": "d", "ð": "d", "ł": "l", "ı": "i", "ħ": "h", "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ŋ": "n"})
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
+
+
+def unmarked(text: str) -> str:
+    """Compatibility forms resolved and combining marks dropped."""
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
 
 
 def fold(text: str) -> str:
@@ -13,4 +21,4 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKD", text).lower().translate(_PLAIN)
-    return "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
+    return text if text.isascii() else _MARKS.sub("", text)

@@ -41,7 +41,7 @@ def _q(condition: str, source: str = "papers") -> str:
 
 
 _INK = "coalesce(regexp_matches({c}, '\\S'), false)"
-_DOI = r"lower(regexp_replace(regexp_replace(trim({c}, ' '), '^(https?://(www\.)?(doi\.org|dx\.doi\.org)/|doi:\s*)', '', 'i'), '[.,;:)\]}}]+$', ''))"
+_DOI = "rtrim(case when instr(lower(trim({c}, ' ')), '10.') > 0 then substr(lower(trim({c}, ' ')), instr(lower(trim({c}, ' ')), '10.')) else lower(trim({c}, ' ')) end, '.,;:)]}}')"
 _FILE = r"lower(regexp_extract(regexp_replace(regexp_replace(file, '^:', ''), ':[A-Za-z]+$', ''), '([^/\\]*)$', 1))"
 _BIB = "coalesce(metadata_source ilike 'bib:%', false)"
 _MISS = "coalesce(metadata_source ilike 'none:%', false)"
