@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from paperlake.functions.fold import fold
+from paperlake.plans.lineage import materialize
 
 SHARED, K = 12, 6  # words that make a case; words of a fingerprint
 BITS = 24  # the bitmap of test fingerprints has 2**BITS bits, 2 MB
 MAX_BROADCAST = 200_000  # test fingerprints, about 200 bytes each with their words
 SALTS = 16
 CACHE = 500_000
+TOGETHER = 100_000  # words whose fingerprints are worked out together
 
 _EMPHASIS = re.compile(r"</?(?:em|strong|b|i|u|mark|del|span)\b[^<>]{0,200}>|[*_~`]+|[­​-‍⁠﻿]")
 _BROKEN = re.compile(r"(?<=[^\W_])[-‐‑¬][^\S\n]*\n\s*(?=[^\W_])")
@@ -80,11 +82,7 @@ def fingerprints(words: list[str], hashes: dict, k: int, window: int) -> tuple[n
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
-    grams = np.zeros(n, np.uint64)
-    for j in range(k):
-        grams = grams * _MIX + h[j : j + n]
-    grams = (grams ^ (grams >> np.uint64(29))) * _MIX
-    grams ^= grams >> np.uint64(32)
+    grams = _grams(h, k)
     w = min(window, n)
     m = n - w + 1
     least, place = grams[:m].copy(), np.arange(m)
@@ -97,6 +95,43 @@ def fingerprints(words: list[str], hashes: dict, k: int, window: int) -> tuple[n
     return place, grams[place]
 
 
+def fingerprints_of(texts: list[list[str]], hashes: dict, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, place, hash) of the fingerprints of several texts, worked out together."""
+    short = [n for n, words in enumerate(texts) if len(words) < k + window - 1]
+    long = [n for n, words in enumerate(texts) if len(words) >= k + window - 1]
+    parts = []
+    for n in short:
+        place, fp = fingerprints(texts[n], hashes, k, window)
+        parts.append((np.full(len(place), n), place, fp))
+    if long:
+        sizes = np.array([len(texts[n]) for n in long])
+        h = np.fromiter((hashes[w] for n in long for w in texts[n]), np.uint64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(long)), sizes)
+        start = np.cumsum(sizes) - sizes
+        grams = _grams(h, k)
+        m = len(grams) - window + 1
+        least, place = grams[:m].copy(), np.arange(m)
+        for j in range(1, window):
+            g = grams[j : j + m]
+            later = np.flatnonzero(g <= least)
+            least[later] = g[later]
+            place[later] = later + j
+        place = np.unique(place[owner[:m] == owner[k + window - 2 : k + window - 2 + m]])
+        parts.append((np.array(long)[owner[place]], place - start[owner[place]], grams[place]))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    n = len(h) - k + 1
+    grams = np.zeros(n, np.uint64)
+    for j in range(k):
+        grams = grams * _MIX + h[j : j + n]
+    grams = (grams ^ (grams >> np.uint64(29))) * _MIX
+    return grams ^ (grams >> np.uint64(32))
+
+
 def shared_words(doc: list[str], at: int, item: list[str], item_at: int) -> int:
     """Whole words of the item in the run of equal letters around a hit."""
     d, i = "".join(doc), "".join(item)
@@ -151,18 +186,26 @@ def _side(df: DataFrame, id_col: str, text_col: str, k: int, window: int, reach:
         known = None if vocabulary is None else lambda w: bool(_in(vocabulary.value, np.uint64(hashes[w])))
         for batch in batches:
             ids, fps, ats, around = [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            owners, texts, size = [], [], 0
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for n, (i, text) in enumerate(rows):
                 for words in readings(text, known):
-                    place, fp = fingerprints(words, hashes, k, window)
-                    if bits is not None and len(fp):
-                        there = _in(bits, fp)
-                        place, fp = place[there], fp[there]
-                    for p, f in zip(place.tolist(), fp.astype(np.int64).tolist()):
-                        a = max(0, p - reach)
-                        ids.append(i)
-                        fps.append(f)
-                        ats.append(p - a)
-                        around.append(" ".join(words[a : p + k + reach]))
+                    owners.append(i)
+                    texts.append(words)
+                    size += len(words)
+                if size < TOGETHER and n + 1 < len(rows):
+                    continue
+                own, place, fp = fingerprints_of(texts, hashes, k, window)
+                if bits is not None and len(fp):
+                    there = _in(bits, fp)
+                    own, place, fp = own[there], place[there], fp[there]
+                for o, p, f in zip(own.tolist(), place.tolist(), fp.astype(np.int64).tolist()):
+                    a = max(0, p - reach)
+                    ids.append(owners[o])
+                    fps.append(f)
+                    ats.append(p - a)
+                    around.append(" ".join(texts[o][a : p + k + reach]))
+                owners, texts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(ats, pa.int32()), pa.array(around, pa.string())], names=["id", "fp", "at", "words"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null and id is not null")
@@ -174,7 +217,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id): the document holds ``shared`` consecutive words of the item."""
     window, reach = shared - k + 1, shared - 1
-    tests = _side(items, item_id, text, k, window, reach).distinct()
+    tests = materialize(_side(items, item_id, text, k, window, reach).distinct(), "leak-tests")
     bitmap, vocabulary = _bitmap(tests.select("fp")), _bitmap(_vocabulary(items, text))
     hits = _side(corpus, doc_id, text, k, window, reach, bitmap, vocabulary)
     tests = tests.select(F.col("id").alias("item"), "fp", F.col("at").alias("item_at"), F.col("words").alias("item_words"))
