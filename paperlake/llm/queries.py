@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of chunks of cosine 0.88 or more, one among the ten most similar of the other."""
-    near = nearest(table(spark, root, "chunk_vec"), "chunk_id", "embedding", dim=64, k=10, min_similarity=0.88)
+    near = nearest(table(spark, root, "chunk_vec"), "chunk_id", "embedding", dim=64, k=10, min_similarity=0.88, recall=0.99)
     a, b = F.col("id"), F.col("neighbour_id")
     return near.where(a != b).select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
 
@@ -73,7 +73,7 @@ def p4_paragraphs(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Cuts that can't be avoided: two neighbouring blocks that together exceed 1,800 characters."""
-    pieces = split_items(table(spark, root, "chunks"))
+    pieces = split_items(table(spark, root, "chunks"), once=False)
     return pieces.where("cut_kind = 'forced'").select(F.col("id").alias("chunk_id"), "cut_offset").distinct()
 
 

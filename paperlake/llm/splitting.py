@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 LIMIT, OVERLAP = 1800, 200
+PART = 1_000  # chunks of a document that a task meets
 KINDS = ("char", "word", "clause", "sentence", "line", "block", "forced")
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
@@ -83,11 +84,11 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     pos, level = boundaries(text, limit)
     room = limit - overlap
     forced = [int(p) for p in pos[level == 6]]
-    out = [(p, "forced") for p in forced]
+    out, ends = [(p, "forced") for p in forced], set(forced)
     todo = list(zip([0, *forced], [*forced, len(text)]))
     while todo:
         a, b = todo.pop()
-        if b - a <= room or a == 0 and b - a <= limit and b < len(text) and (b, "forced") in out:
+        if b - a <= room or a == 0 and b - a <= limit and b in ends:
             continue
         mid, margin = (a + b) / 2, (b - a) / 4
         lo, hi = np.searchsorted(pos, [a + margin, b - margin], "left")
@@ -104,12 +105,13 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
 
 
 def split_items(
-    df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP
+    df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, once: bool = True
 ) -> DataFrame:
     """(id, piece, start, end, cut_offset, cut_kind, text) of the pieces of every text over the limit.
 
     start and end bound the piece with its overlap; cut_offset, cut_kind tell where and at
-    what boundary it was cut from the piece before (null for the first).
+    what boundary it was cut from the piece before (null for the first). once: repeated rows
+    give one set of pieces; without it nothing is shuffled.
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,8 +127,8 @@ def split_items(
             yield out.astype({"cut_offset": "Int64"})
 
     long = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    long = long.where(F.length("text") > limit).dropDuplicates()
-    return long.mapInPandas(pieces, "id bigint, piece int, start bigint, end bigint, cut_offset bigint, cut_kind string, text string")
+    long = long.where(F.length("text") > limit)
+    return (long.dropDuplicates() if once else long).mapInPandas(pieces, "id bigint, piece int, start bigint, end bigint, cut_offset bigint, cut_kind string, text string")
 
 
 def right_offsets(chunks: DataFrame, paper_text: DataFrame) -> DataFrame:
@@ -146,7 +148,11 @@ def right_offsets(chunks: DataFrame, paper_text: DataFrame) -> DataFrame:
         .when(there, told)
         .when(place > 0, (place - 1).cast("bigint"))
     )
-    return c.join(m, "doc_id", "left").select("chunk_id", right.alias("char_offset"))
+    # a document of very many chunks is met in parts of PART chunks, so no task gets all of them
+    part = F.coalesce(F.floor(F.col("chunk_index") / PART).cast("int"), F.lit(-1))
+    c = c.withColumn("part", part)
+    parts = m.join(c.select("doc_id", "part").distinct(), "doc_id")
+    return c.join(parts, ["doc_id", "part"], "left").select("chunk_id", right.alias("char_offset"))
 
 
 def split_chunks(chunks: DataFrame, paper_text: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
