@@ -32,3 +32,16 @@ def surnames(authors: str | None) -> list[str]:
         return []
     spans = packed.resolve(packed.skeleton(authors))
     return list(dict.fromkeys(s for n in packed.extract(authors, spans) if (s := surname(n))))
+
+
+_SENIORITY = frozenset(("jr", "sr", "ii", "iii", "iv"))
+
+
+def given_name_first(name: str) -> str:
+    """"Last, First" and "Last, Jr., First" with the given name first; a name with other commas stays."""
+    last, *rest = (p.strip() for p in name.split(","))
+    if len(rest) == 1 and last and rest[0]:
+        return f"{rest[0]} {last}"
+    if len(rest) == 2 and last and rest[1] and rest[0].lower().rstrip(".") in _SENIORITY:
+        return f"{rest[1]} {last}, {rest[0]}"
+    return name

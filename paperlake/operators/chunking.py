@@ -1,18 +1,21 @@
 """Structure-aware chunks of Markdown texts, and the pages they are on.
 
-Both walk one document with a cursor, so they run per document in Arrow batches, parallel
-across documents; nothing is shuffled.
+Both walk one document with a cursor, so they run per document, parallel across documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paperlake.plans.lineage import materialize
+
 MOST, OVERLAP, LEAST = 1800, 200, 512
 _HEADER = re.compile(r"^#{2,3}[ \t]+(.*)$", re.M)
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
@@ -125,103 +128,196 @@ def missing_between(chunks: DataFrame, ids: DataFrame, first: int, last: int) ->
     return asked.join(chunks.select("doc_id", "chunk_index"), ["doc_id", "chunk_index"], "left_anti")
 
 
-def context(chunks: DataFrame, asked: DataFrame, most: int = 2000, slack: int = 200) -> DataFrame:
-    """(doc_id, chunk_index, context): each asked chunk with neighbours, alternately before and after."""
-
-    def widen(key, c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(c["chunk_index"], c["text"]))
-        rows = []
-        for at in a["chunk_index"]:
-            if at not in texts:
-                continue
-            lo = hi = at
-            size, before = len(texts[at]), True
-            while size < most:
-                options = [(lo - 1, True), (hi + 1, False)] if before else [(hi + 1, False), (lo - 1, True)]
-                pick = next(((n, left) for n, left in options if n in texts and size + len(texts[n]) <= most + slack), None)
-                if pick is None:
-                    break
-                size += len(texts[pick[0]])
-                lo, hi = (pick[0], hi) if pick[1] else (lo, pick[0])
-                before = not before
-            rows.append((key[0], at, "\n\n".join(texts[n] for n in range(lo, hi + 1))))
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_index", "context"])
-
-    near = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "chunk_index", "text").dropDuplicates(["doc_id", "chunk_index"])
-    return near.groupBy("doc_id").cogroup(asked.groupBy("doc_id")).applyInPandas(widen, "doc_id bigint, chunk_index int, context string")
+NEIGHBOURS = 16  # chunks on either side that the first round of ``context`` looks at
 
 
-# --- pages ---------------------------------------------------------------------------
-
-PROBES, TAIL_PAGES, FAR, FAR_SUPPORT, WORD_SUPPORT = (80, 50, 30), 6, 20, 0.8, 0.5
+def context(chunks: DataFrame, asked: DataFrame, most: int = 2000, slack: int = 200) -> DataFrame:
+    """(doc_id, chunk_index, context): each asked chunk with neighbours, alternately before and after.
 
+    A chunk meets its neighbours by blocks of chunk indices, so no task gets a whole document; the
+    few whose neighbours are so short that a block isn't enough go on with larger blocks.
+    """
+    near = chunks.select("doc_id", "chunk_index", "text").where("text is not null").dropDuplicates(["doc_id", "chunk_index"])
+    todo, width, done = asked.select("doc_id", "chunk_index").distinct(), NEIGHBOURS, None
+    while True:
+        got = materialize(_widened(near, todo, width, most, slack), "context")
+        whole = got.where("whole").select("doc_id", "chunk_index", "context")
+        done = whole if done is None else done.unionByName(whole)
+        todo = got.where("not whole").select("doc_id", "chunk_index")
+        if todo.first() is None:
+            return done
+        width *= 8
+
+
+def _widened(near: DataFrame, asked: DataFrame, width: int, most: int, slack: int) -> DataFrame:
+    block = lambda c: F.floor(F.col(c) / width)
+    blocks = asked.withColumn("block", F.explode(F.array(*(block("chunk_index") + d for d in (-1, 0, 1)))))
+    rows = near.select("doc_id", F.col("chunk_index").alias("n"), "text", block("chunk_index").alias("block"))
+    gathered = blocks.join(rows, ["doc_id", "block"]).groupBy("doc_id", "chunk_index").agg(F.collect_list(F.struct("n", "text")).alias("rows"))  # 3 blocks at most
 
-def letters(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalpha())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, at, rows in zip(b["doc_id"], b["chunk_index"], b["rows"]):
+                texts = {r["n"]: r["text"] for r in rows}
+                if at not in texts:
+                    continue
+                first = (at // width - 1) * width
+                lo, hi, size, left = at, at, len(texts[at]), True
+                while size < most:
+                    for n in (lo - 1, hi + 1) if left else (hi + 1, lo - 1):
+                        if n in texts and size + len(texts[n]) <= most + slack:
+                            break
+                    else:
+                        break
+                    size, lo, hi, left = size + len(texts[n]), min(lo, n), max(hi, n), not left
+                whole = size >= most or lo > first and hi < first + 3 * width - 1
+                out.append((doc, at, "\n\n".join(texts[n] for n in range(lo, hi + 1)), whole or lo == 0 and hi < first + 3 * width - 1))
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "context", "whole"])
+
+    return gathered.mapInPandas(run, "doc_id bigint, chunk_index int, context string, whole boolean")
 
 
-def _support(text: str, page: str) -> float:
-    words = {w for w in re.findall(r"[^\W\d_]{5,}", text.casefold())}
-    return sum(w in page.casefold() for w in words) / len(words) if words else 0.0
+# --- pages ---------------------------------------------------------------------------
 
+# Lengths of probes in letters, the pages a chunk may span or jump, and shares of words.
+PROBES, SHORT_CHUNK, MOST_SPAN, MOST_JUMP, LEAST_WORDS = (80, 50, 30), 20, 6, 20, 8
+EXTENDS, WEAK, STRONG, ACCEPTED, BETTER = 0.4, 0.6, 0.8, 0.5, 0.3
+_LONG_WORD = re.compile(r"[^\W\d_]{5,}")
 
-def map_pages(pages: list[str], chunks: list[str]) -> list[tuple[int | None, int | None, str]]:
-    """(first page, last page, status) of each chunk; pages count from 1.
 
-    A chunk's head is looked for from the cursor on, then anywhere (far jumps need word
-    support); its tail confirms the last page. What isn't found takes the page its words
-    support best, else lies between its located neighbours.
+def letters(text: str) -> str:
+    return "".join(filter(str.isalpha, unicodedata.normalize("NFKC", text).casefold()))
+
+
+def long_words(text: str) -> set[str]:
+    return set(_LONG_WORD.findall(unicodedata.normalize("NFKC", text).casefold()))
+
+
+class _Pages:
+    """The letters and words of a paper's pages, counted from 1."""
+
+    def __init__(self, texts: list[str]):
+        plain = [letters(t) for t in texts]
+        self.whole, self.n, self.texts = "".join(plain), len(texts), texts
+        self.starts = [0, *accumulate(map(len, plain))][:-1]
+        self._words: dict[int, set[str]] = {}
+
+    def at(self, place: int) -> int:
+        return max(1, bisect_right(self.starts, place))
+
+    def words(self, page: int) -> set[str]:
+        if page not in self._words:
+            self._words[page] = long_words(self.texts[page - 1])
+        return self._words[page]
+
+    def share(self, words: set[str], first: int, last: int | None = None) -> float:
+        """Share of the words that stand on the pages."""
+        held = set().union(*(self.words(p) for p in range(first, (last or first) + 1)))
+        return len(words & held) / len(words) if words else 0.0
+
+    def best(self, words: set[str], first: int, last: int) -> tuple[int, float]:
+        """The first page of the largest share."""
+        return max(((p, self.share(words, p)) for p in range(first, last + 1)), key=lambda x: (x[1], -x[0]))
+
+    def grown(self, words: set[str], first: int, last: int, back: bool) -> tuple[int, int]:
+        """The span with the neighbouring pages that hold enough of the words."""
+        while back and first > 1 and last - first < MOST_SPAN and self.share(words, first - 1) >= EXTENDS:
+            first -= 1
+        while last < self.n and last - first < MOST_SPAN and self.share(words, last + 1) >= EXTENDS:
+            last += 1
+        return first, last
+
+
+def _probed(pages: _Pages, text: str, cursor: int, last: int | None) -> tuple[list | None, int, int | None]:
+    """([first, last, status, whether the end was seen] or None, cursor, last page) by letters of a chunk."""
+    body, whole = letters(text), pages.whole
+    if len(body) < SHORT_CHUNK:
+        return None, cursor, last
+    sizes = [s for s in PROBES if len(body) >= s] + ([len(body)] if len(body) < 2 * PROBES[-1] else [])
+    for size in sizes:
+        place = whole.find(body[:size], cursor)
+        ahead = place >= 0
+        place = place if ahead else whole.find(body[:size])
+        if place < 0:
+            continue
+        first, end = pages.at(place), None
+        tail = next((s for s in PROBES if len(body) >= s + size), None)
+        if tail is not None and (there := whole.find(body[-tail:], place + size)) >= 0 and 0 <= pages.at(there) - first <= MOST_SPAN:
+            end = pages.at(there)
+        far = end is None and last is not None and first - last > MOST_JUMP
+        if far:  # text that is repeated later needs the words of the page on its side
+            words = long_words(text)
+            far = len(words) < LEAST_WORDS or pages.share(words, first) < STRONG
+        if (ahead or end is not None) and not far:
+            row = [first, end or first, "located", end is not None]
+            return row, place if ahead else cursor, row[1] if ahead else last
+        break
+    seen = []
+    for part in (0.25, 0.5, 0.75):
+        at = int(len(body) * part)
+        place = next((p for s in PROBES if at + s <= len(body) and (p := whole.find(body[at : at + s], cursor)) >= 0), -1)
+        if place >= 0:
+            seen.append(pages.at(place))
+    if seen and max(seen) - min(seen) <= MOST_SPAN:
+        return [min(seen), max(seen), "partial", True], cursor, last
+    return None, cursor, last
+
+
+def _between(rows: list[list | None], n: int) -> tuple[int | None, int | None]:
+    """(last page of the placed chunk before, first page of the one after)."""
+    placed = ("located", "partial")
+    before = next((r[1] for r in reversed(rows[:n]) if r and r[2] in placed), None)
+    after = next((r[0] for r in rows[n + 1 :] if r and r[2] in placed), None)
+    return before, after
+
+
+def map_pages(page_texts: list[str], chunks: list[str]) -> list[tuple[int | None, int | None, str]]:
+    """(first page, last page, status) of each chunk in document order; pages count from 1.
+
+    A chunk's head is looked for from the cursor on, then anywhere; its tail confirms the last
+    page, else letters from its middle tell. Spans are grown, or moved, by the words they hold.
+    What isn't found takes the page between its placed neighbours that holds most of its words,
+    else lies between them. status: located, partial, interpolated, unlocated or no_text.
     """
-    plain = [letters(p) for p in pages]
-    if not any(plain):
+    pages = _Pages(page_texts)
+    if not pages.whole:
         return [(None, None, "no_text")] * len(chunks)
-    starts, joined = [], ""
-    for p in plain:
-        starts.append(len(joined))
-        joined += p
-
-    def page_at(i: int) -> int:
-        return max(n for n, s in enumerate(starts) if s <= i) + 1
-
-    out: list[list] = []
-    cursor, last = 0, 1
+    rows: list[list | None] = []
+    cursor, last = 0, None
     for text in chunks:
-        body, found = letters(text), None
-        for size in PROBES:
-            probe = body[:size]
-            if len(probe) < min(size, 30):
-                continue
-            at = joined.find(probe, cursor)
-            if at < 0:
-                at = joined.find(probe)
-            if at >= 0 and (abs(page_at(at) - last) <= FAR or _support(text, pages[page_at(at) - 1]) >= FAR_SUPPORT):
-                found = at
-                break
-        if found is None:
-            out.append([None, None, "unlocated"])
+        row, cursor, last = _probed(pages, text, cursor, last)
+        rows.append(row)
+    words = [long_words(t) for t in chunks]
+    for own, row in zip(words, rows):
+        if row is None or len(own) < LEAST_WORDS:
             continue
-        first = page_at(found)
-        end = joined.find(body[-30:], found)
-        tail = page_at(end + 29) if end >= 0 and len(body) >= 30 else None
-        if tail is not None and tail - first <= TAIL_PAGES:
-            out.append([first, tail, "located"])
+        if row[2] == "located" and not row[3]:
+            row[0], row[1] = pages.grown(own, row[0], row[1], back=False)
+        held = pages.share(own, row[0], row[1])
+        if held < WEAK:
+            page, share = pages.best(own, 1, pages.n)
+            if share >= STRONG and share >= held + BETTER:
+                row[0], row[1] = pages.grown(own, page, page, back=True)
+    for n, own in enumerate(words):
+        if rows[n] is None and len(own) >= LEAST_WORDS:
+            before, after = _between(rows, n)
+            low, high = (before or after or 1), (after or before or pages.n)
+            high = max(low, high)
+            if before or after:
+                low, high = max(1, low - 1), min(pages.n, high + 1)
+            page, share = pages.best(own, low, high)
+            if share >= ACCEPTED:
+                rows[n] = [page, page, "partial", True]
+    out = []
+    for n, row in enumerate(rows):
+        if row is None:
+            before, after = _between(rows, n)
+            low = before or after
+            out.append((low, max(low, after or low), "interpolated") if low else (None, None, "unlocated"))
         else:
-            out.append([first, first, "partial"])
-        cursor, last = found + len(body) // 2, first
-    for n, row in enumerate(out):
-        if row[0] is None:
-            scored = [(_support(chunks[n], p), -k) for k, p in enumerate(pages)]
-            best, k = max(scored)
-            if best >= WORD_SUPPORT:
-                row[:] = [1 - k, 1 - k, "partial"]
-    for n, row in enumerate(out):
-        if row[0] is None:
-            before = next((r[1] for r in reversed(out[:n]) if r[0] is not None), None)
-            after = next((r[0] for r in out[n + 1 :] if r[0] is not None), None)
-            if before is not None or after is not None:
-                row[:] = [before or after, after or before, "interpolated"]
-    return [tuple(r) for r in out]
-
+            out.append((row[0], row[1], row[2]))
+    return out
 
 
 def page_from_header(header: str = "section_header") -> Column:

@@ -1,7 +1,7 @@
 """Verbatim quotes: exact places of a needle, and places that agree up to line breaks and marks.
 
 A column prefilter keeps rows that can match; only those reach Python. Repeated hits in the
-overlap of neighbouring chunks are dropped by a window over the previous chunk.
+overlap of neighbouring chunks are dropped by a join with the chunk before.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _MARKS = frozenset("*_`~#­​‌‍⁠﻿")
 _PLAIN = {"‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "‐": "-", "‑": "-", "−": "-"}
@@ -87,7 +87,7 @@ def grep_exact(rows: DataFrame, needle: str, ignore_case: bool = False) -> DataF
     return rows.select("doc_id", "chunk_index", (place - 1).cast("bigint").alias("start")).where("start >= 0")
 
 
-def grep(rows: DataFrame, needle: str, ignore_case: bool = False, context: int = 80) -> DataFrame:
+def grep(rows: DataFrame, needle: str, ignore_case: bool = False, context: int = 80, overlap: int = 200) -> DataFrame:
     """(doc_id, chunk_index, start, end, kind, matched, context) over rows (doc_id, chunk_index, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,11 +102,28 @@ def grep(rows: DataFrame, needle: str, ignore_case: bool = False, context: int =
     picked = rows.where(F.col("text").isNotNull() & can_match(needle)).select("doc_id", "chunk_index", "text").distinct()
     schema = "doc_id bigint, chunk_index int, start bigint, end bigint, kind string, matched string, context string"
     found = picked.mapInPandas(run, schema)
-    # a hit at the head of a chunk that the chunk before ends with is the same place
-    last = Window.partitionBy("doc_id").orderBy("chunk_index", "start")
-    before = F.lag(F.struct("chunk_index", "context")).over(last)
-    same = (F.col("before.chunk_index") == F.col("chunk_index") - 1) & (F.col("start") < 200) & F.col("before.context").contains(F.col("matched")) & (F.substring("context", 1, 40) == F.expr("substring(before.context, greatest(1, locate(substring(context, 1, 40), before.context)), 40)"))
-    return found.withColumn("before", before).where(~F.coalesce(same, F.lit(False))).drop("before").orderBy("doc_id", "chunk_index", "start")
+    # a hit that starts in the overlap with the chunk before is one that chunk has too; only hits near a
+    # chunk's start ask for the chunk before, by an equi-join, so no task gets all hits of a document
+    near = found.where(F.col("start") < overlap).select("doc_id", "chunk_index", "start", "end").join(picked, ["doc_id", "chunk_index"])
+    ahead = near.select("doc_id", "chunk_index", "start", F.expr("substring(text, 1, end)").alias("opening"), (F.col("chunk_index") - 1).alias("before"))
+    held = picked.join(found.select("doc_id", "chunk_index").distinct(), ["doc_id", "chunk_index"], "left_semi")
+    before = held.select("doc_id", F.col("chunk_index").alias("before"), F.expr(f"right(text, {2 * overlap})").alias("closing"))
+    again = ahead.join(before, ["doc_id", "before"]).where(F.expr("contains(closing, opening)")).select("doc_id", "chunk_index", "start").distinct()
+    return found.join(again, ["doc_id", "chunk_index", "start"], "left_anti").select(*found.columns).orderBy("doc_id", "chunk_index", "start")
+
+
+def searched(chunks: DataFrame, paper_text: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, text): chunks, and whole raw texts (chunk_index null) of papers without chunks."""
+    cut = chunks.where("text is not null").select("doc_id", "chunk_index", "text").distinct()
+    whole = paper_text.select(F.col("paper_id").alias("doc_id"), F.lit(None).cast("int").alias("chunk_index"), F.col("raw_text").alias("text"))
+    return cut.unionByName(whole.where("text is not null and text <> ''").join(chunks.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
+def report(hits: DataFrame, limit: int = 50, asked: DataFrame | None = None) -> tuple[DataFrame, bool, DataFrame | None]:
+    """(the first hits, whether there are more, asked ids (doc_id) without any)."""
+    first = hits.orderBy("doc_id", "chunk_index", "start").limit(limit)
+    more = hits.limit(limit + 1).count() > limit
+    return first, more, None if asked is None else asked.select("doc_id").distinct().join(hits, "doc_id", "left_anti")
 
 
 def any_of(needles: list[str], column: str = "text") -> Column:

@@ -32,3 +32,9 @@ def match(keys: DataFrame, papers: DataFrame, live: DataFrame | None = None) ->
     out = k.alias("k").join(joined.alias("j"), F.col("k.file_hash").eqNullSafe(F.col("j.file_hash")) & F.col("k.path").eqNullSafe(F.col("j.path")), "left")
     status = F.when(F.col("j.n").isNull(), "missing").when(F.col("j.n") > 1, "ambiguous").otherwise("found")
     return out.select("k.file_hash", "k.path", F.when(F.col("j.n") == 1, F.col("j.id")).alias("paper_id"), status.alias("status"))
+
+
+def attach(rows: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """Rows (file_hash, path, …) with what ``match`` found for their keys."""
+    named = found.withColumnsRenamed({"file_hash": "_hash", "path": "_path"})
+    return rows.join(named, F.col("file_hash").eqNullSafe(F.col("_hash")) & F.col("path").eqNullSafe(F.col("_path")), how).drop("_hash", "_path")

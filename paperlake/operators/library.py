@@ -45,3 +45,9 @@ def uncovered(notes: DataFrame, papers: DataFrame) -> DataFrame:
     """(id, filename) of papers that no note refers to."""
     refs = references(notes).select(F.col("ref").alias("filename"))
     return papers.select("id", "filename").join(refs, "filename", "left_anti")
+
+
+def describe(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, type) of every column."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(n, f.name, f.dataType.simpleString()) for n, t in tables.items() for f in t.schema.fields], "table_name string, column_name string, type string")

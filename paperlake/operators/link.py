@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from paperlake.functions import latex, titles
-from paperlake.functions.names import surnames
+from paperlake.functions import latex, packed, titles
+from paperlake.functions.names import given_name_first, surnames
 from paperlake.functions.titles import normal_doi
 from paperlake.operators.metadata import containment
+from paperlake.operators.repairs import author_list
 from paperlake.operators.works import display_title, has_ink
 from paperlake.plans.lineage import materialize
 
 SIMILAR, CERTAIN = 0.85, 0.95
+TIERS = ("strong", "title", "weak", "filename")
 CUT_SHORT = 12  # least characters of a title that counts as the start of a longer one
 BLOCK = 2_000  # titles of a side, over all lengths, that are compared in one group
 # Words a citekey skips, characters BibTeX escapes.
@@ -195,7 +197,7 @@ def bib_entries(papers: DataFrame, prefix: str = "") -> DataFrame:
         return c
 
     field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"  {name} = {{"), c, F.lit("}")))
-    people = F.regexp_replace(F.regexp_replace("authors", r'^\s*\["?|"?\]\s*$', ""), r'"\s*,\s*"', " and ")
+    people = F.array_join(author_list(F.col("authors")), " and ")
     body = F.concat_ws(
         ",\n", field("title", esc(F.col("title"))), field("author", esc(people)), field("year", F.col("year").cast("string")),
         field("doi", F.col("doi")), field("file", F.concat(F.lit(prefix), F.col("filename"))),
@@ -204,11 +206,36 @@ def bib_entries(papers: DataFrame, prefix: str = "") -> DataFrame:
     return papers.where(has_ink("citekey")).select("id", F.concat(F.lit("@"), kind, F.lit("{"), F.col("citekey"), F.lit(",\n"), body, F.lit("\n}\n")).alias("entry"))
 
 
+def append_entries(papers: DataFrame, bib: DataFrame, ids: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """((id, entry) blocks to append to a .bib file, papers with the keys assigned) for the given papers without a citekey.
+
+    A new key is free among the keys of papers and of the file.
+    """
+    open_papers = papers.where(~has_ink("citekey")).join(ids.select("id").distinct(), "id", "left_semi")
+    surname = F.get(surnames_column(F.get(author_list(F.col("authors")), F.lit(0))), F.lit(0))
+    wanted = open_papers.select("id", citekey_base(surname, F.col("year"), display_title()).alias("base"))
+    taken = papers.where(has_ink("citekey")).select("citekey").union(bib.where(has_ink("citekey")).select("citekey"))
+    keys = assign_citekeys(wanted, taken).withColumnRenamed("citekey", "_key")
+    keyed = papers.join(materialize(keys, "citekeys"), "id", "left")
+    out = keyed.select(*(F.coalesce("_key", c).alias(c) if c == "citekey" else F.col(c) for c in papers.columns))
+    return bib_entries(out.join(ids.select("id").distinct(), "id", "left_semi").join(open_papers.select("id"), "id", "left_semi"), prefix), out
+
+
+def apply_matches(papers: DataFrame, matches: DataFrame, bib: DataFrame, include_uncertain: bool = False, force: bool = False) -> DataFrame:
+    """Papers with the citekeys of matches (id, entry_id[, confidence]); a key that is there stays unless forced."""
+    sure = matches if include_uncertain or "confidence" not in matches.columns else matches.where("confidence <> 'uncertain'")
+    keys = sure.join(bib.select("entry_id", F.col("citekey").alias("_key")), "entry_id").groupBy("id").agg(F.min("_key").alias("_key"))
+    new = F.coalesce("_key", "citekey") if force else F.coalesce("citekey", "_key")
+    return papers.join(keys, "id", "left").select(*(new.alias(c) if c == "citekey" else F.col(c) for c in papers.columns))
+
+
 def suggest(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, similar: float = 0.75, contained: float = 0.6, file_contained: float = 0.8) -> DataFrame:
-    """(id, entry_id, citekey, tier, alternates, owner_id): citekeys for papers without one.
+    """(id, entry_id, citekey, tier, alternates, ambiguous, owner_id): citekeys for papers without one.
 
-    Title evidence: a similar title, or one that starts with the paper's, that the text also holds. File evidence: surname and year
-    in the file name, and the title in the text. Both make it strong; owner_id is the paper
+    Title evidence: a similar title, or one that starts with the paper's, whose words the text
+    holds. File evidence: surname and year in the file name, and the title or its words in the
+    text's opening. tier: strong (both), title, weak (a printed title of low confidence, where
+    the table tells it) or filename. ambiguous: other entries pass too. owner_id is the paper
     that already has the key.
     """
     open_papers = papers.where(~has_ink("citekey"))
@@ -220,14 +247,47 @@ def suggest(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, similar: f
     entries = bib.where("year is not null").select("entry_id", F.explode(surnames_column("authors")).alias("k"), F.col("year").cast("string").alias("y"))
     filed = files.join(entries.distinct(), ["k", "y"]).select("id", "entry_id", F.lit(0).alias("by_title"), F.lit(1).alias("by_file"))
     met = titled.union(filed).groupBy("id", "entry_id").agg(F.max("by_title").alias("t"), F.max("by_file").alias("f"))
-    scored = met.join(bib.select("entry_id", "citekey", "title"), "entry_id").join(text, "id").withColumn("held", containment("title", "raw_text"))
-    t, f = (F.col("t") == 1) & (F.col("held") >= contained), (F.col("f") == 1) & (F.col("held") >= file_contained)
-    ranked = scored.withColumn("tier", F.when(t & f, "strong").when(t, "title").when(f, "filename")).where("tier is not null")
-    order = F.array_position(F.array(F.lit("strong"), F.lit("title"), F.lit("filename")), F.col("tier"))
-    best = Window.partitionBy("id").orderBy(order, F.desc("held"), "entry_id")
-    top = ranked.withColumn("r", F.row_number().over(best)).withColumn("n", F.count("*").over(Window.partitionBy("id"))).where("r = 1")
-    owners = papers.where(has_ink("citekey")).groupBy(F.lower("citekey").alias("low")).agg(F.min("id").alias("owner_id"))
-    return top.join(owners, F.lower("citekey") == F.col("low"), "left").select("id", "entry_id", "citekey", "tier", (F.col("n") - 1).alias("alternates"), "owner_id")
+    scored = met.join(bib.select("entry_id", "citekey", "title", bib_title("title").alias("phrase")), "entry_id").join(text, "id").withColumn("held", containment("title", "raw_text"))
+    head = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.substring("raw_text", 1, 6000)), "[^a-z0-9]+", " "), F.lit(" "))
+    whole = (F.length("phrase") >= 8) & head.contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    t, f = (F.col("t") == 1) & (F.col("held") >= contained), (F.col("f") == 1) & ((F.col("held") >= file_contained) | whole)
+    low = F.lit(False)
+    if "title_layout_confidence" in papers.columns:
+        scored = scored.join(papers.select("id", F.coalesce(F.col("title_layout_confidence") != "high", F.lit(True)).alias("low")), "id")
+        low = F.col("low")
+    ranked = scored.withColumn("tier", F.when(t & f, "strong").when(t & low, "weak").when(t, "title").when(f, "filename")).where("tier is not null")
+    order = F.array_position(F.array(*(F.lit(x) for x in TIERS)), F.col("tier"))
+    best = ranked.groupBy("id").agg(F.min_by(F.struct("entry_id", "citekey", "tier"), F.struct(order, -F.col("held"), "entry_id")).alias("b"), (F.count("*") - 1).alias("alternates")).select("id", "b.*", "alternates")
+    owners = papers.where(has_ink("citekey")).groupBy(F.lower("citekey").alias("low_key")).agg(F.min("id").alias("owner_id"))
+    return best.join(owners, F.lower("citekey") == F.col("low_key"), "left").select("id", "entry_id", "citekey", "tier", "alternates", (F.col("alternates") > 0).alias("ambiguous"), "owner_id")
+
+
+def apply_suggestions(papers: DataFrame, suggestions: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(papers with the keys applied, (id, citekey, outcome applied, refused or no_suggestion)) for asked ids (pos, id).
+
+    A key that another paper has, or an earlier id of this call takes, is refused.
+    """
+    told = asked.groupBy("id").agg(F.min("pos").alias("pos")).join(suggestions.select("id", "citekey", "owner_id"), "id", "left")
+    first = told.where("citekey is not null and owner_id is null").groupBy(F.lower("citekey").alias("low")).agg(F.min_by("id", "pos").alias("taker"))
+    told = told.join(first, F.lower("citekey") == F.col("low"), "left")
+    outcome = F.when(F.col("citekey").isNull(), "no_suggestion").when(F.col("owner_id").isNull() & (F.col("taker") == F.col("id")), "applied").otherwise("refused")
+    report = materialize(told.select("id", "citekey", outcome.alias("outcome")), "suggested")
+    keys = report.where("outcome = 'applied'").select("id", F.col("citekey").alias("_key"))
+    out = papers.join(keys, "id", "left").select(*(F.coalesce("_key", c).alias(c) if c == "citekey" else F.col(c) for c in papers.columns))
+    return out, report
+
+
+def clear_audited(papers: DataFrame, audited: DataFrame, asked: DataFrame, log_path: str, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(papers without the citekeys of asked ids that the audit flags, asked ids it doesn't flag).
+
+    What is removed is first appended to the log as JSON lines.
+    """
+    chosen = audited.join(asked.select("id").distinct(), "id", "left_semi").join(papers.select("id", "filename", "citekey"), "id")
+    chosen = materialize(chosen.withColumn("at", F.current_timestamp() if at is None else at), "audited")
+    chosen.write.mode("append").json(log_path)
+    gone = chosen.select("id", F.lit(True).alias("_gone"))
+    out = papers.join(gone, "id", "left").select(*(F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == "citekey" else F.col(c) for c in papers.columns))
+    return out, asked.select("id").distinct().join(audited, "id", "left_anti")
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
@@ -235,23 +295,54 @@ def surnames_column(column: pd.Series) -> pd.Series:
     return column.map(surnames)
 
 
-def pull(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(id, action, changed): what taking metadata from the linked entry would do.
+@pandas_udf(T.ArrayType(T.StringType()))
+def entry_authors(column: pd.Series) -> pd.Series:
+    """Names of a packed author field, given name first, without markup."""
+    return column.map(lambda a: [given_name_first(latex.plain(n)) for n in packed.extract(a, packed.resolve(packed.skeleton(a)))] if a else [])
+
+
+PULLED = ("title", "authors", "year", "doi", "abstract")
+
+
+def pull(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, threshold: float = 0.6, source: str = "bib") -> DataFrame:
+    """(id, action, changed, old, new): what taking metadata from the linked entry would do.
 
     action is not_in_bib, manual, unverified (the text lacks the entry's title), no_change or
-    pull; changed lists the fields whose value would differ.
+    pull; changed lists the fields whose value would differ, old and new map them to their
+    values. Of several entries with the paper's key the one of the smallest id counts. A stored
+    DOI that the text prints wins over an entry's that it doesn't. Fields the tables lack are
+    left out.
     """
-    first = Window.partitionBy("key").orderBy("entry_id")
-    entries = bib.where(has_ink("citekey")).select("entry_id", F.lower("citekey").alias("key"), *(F.col(c).alias(f"b_{c}") for c in ("title", "year", "doi")))
-    entries = entries.withColumn("r", F.row_number().over(first)).where("r = 1")
+    fields = [f for f in PULLED if f in papers.columns and f in bib.columns]
+    packed_entry = F.struct("entry_id", *(F.col(f).alias(f"b_{f}") for f in fields))
+    entries = bib.where(has_ink("citekey")).groupBy(F.lower("citekey").alias("key")).agg(F.min_by(packed_entry, "entry_id").alias("e")).select("key", "e.*")
     linked = papers.where(has_ink("citekey")).withColumn("key", F.lower("citekey")).join(entries, "key", "left")
     linked = linked.join(paper_text.select(F.col("paper_id").alias("id"), "raw_text"), "id", "left")
-    differs = lambda f: F.col(f"b_{f}").isNotNull() & ~F.col(f"b_{f}").eqNullSafe(F.col(f))
-    doi = has_ink("b_doi") & ~normal_doi(F.col("b_doi")).eqNullSafe(F.when(has_ink("doi"), normal_doi(F.col("doi"))))
-    changed = F.concat_ws(",", F.when(differs("title"), "title"), F.when(differs("year"), "year"), F.when(doi, "doi"))
+    head = F.lower(F.substring("raw_text", 1, 6000))
+    old = {f: F.col(f).cast("string") for f in fields}
+    new = {f: F.col(f"b_{f}").cast("string") for f in fields}
+    differs = {f: F.coalesce(new[f] != "", F.lit(False)) & ~new[f].eqNullSafe(old[f]) for f in fields}
+    if "authors" in fields:
+        linked = linked.withColumn("old_names", entry_authors("authors")).withColumn("new_names", entry_authors("b_authors"))
+        old["authors"], new["authors"] = F.to_json("old_names"), F.to_json("new_names")
+        differs["authors"] = (F.size("new_names") > 0) & ~F.col("new_names").eqNullSafe(F.col("old_names"))
+    if "doi" in fields:
+        stored, told = F.when(has_ink("doi"), normal_doi(F.col("doi"))), normal_doi(F.col("b_doi"))
+        printed = F.coalesce(F.contains(head, F.lower("doi")) & ~F.contains(head, told), F.lit(False))
+        new["doi"] = told
+        differs["doi"] = has_ink("b_doi") & ~told.eqNullSafe(stored) & ~(stored.isNotNull() & printed)
+    changed = F.concat_ws(",", *(F.when(differs[f], F.lit(f)) for f in fields))
+    values = lambda of: F.map_from_arrays(F.array_compact(F.array(*(F.when(differs[f], F.lit(f)) for f in fields))), F.filter(F.array(*(F.when(differs[f], F.coalesce(of[f], F.lit(""))) for f in fields)), lambda x: x.isNotNull()))
     manual = F.coalesce(F.col("metadata_source").ilike("%manual%") & ~F.col("metadata_source").ilike("bib:%"), F.lit(False))
     action = (
         F.when(F.col("entry_id").isNull(), "not_in_bib").when(manual, "manual").when(containment("b_title", "raw_text") < threshold, "unverified")
         .when(changed == "", "no_change").otherwise("pull")
     )
-    return linked.select("id", action.alias("action"), F.when(action == "pull", changed).otherwise("").alias("changed"))
+    out = linked.withColumn("action", action)
+    pulled = F.col("action") == "pull"
+    return out.select("id", "action", F.when(pulled, changed).otherwise("").alias("changed"), F.when(pulled, values(old)).alias("old"), F.when(pulled, values(new)).alias("new"))
+
+
+def newly_titled(pulled: DataFrame) -> DataFrame:
+    """(id) of papers that a pull gives a title they lacked: their chunks want embedding anew."""
+    return pulled.where("action = 'pull' and map_contains_key(new, 'title')").where(F.trim(F.col("old")["title"]) == "").select("id")

@@ -99,6 +99,11 @@ def queue(papers: DataFrame, limit: int | None = None, **filters) -> DataFrame:
     return picked.limit(limit) if limit is not None else picked
 
 
+def count(papers: DataFrame, **filters) -> DataFrame:
+    """One row: how many papers the queue of the same filters has."""
+    return papers.where(condition(**(filters or {"needs": ("text",)}))).agg(F.count("*").alias("n"))
+
+
 def pending(papers: DataFrame) -> DataFrame:
     """One row: how much work of each kind the next run would take."""
     ok, text = ~quarantined(), _flag("has_text")

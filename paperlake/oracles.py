@@ -75,7 +75,7 @@ ORACLES = {
     "fts_page_normalized": _bm25(_THREE, _ANY, tail="select doc_id, round(score / max(score) over (), 2) as score from top"),
     "fts_count": f"with {_D} select count(*) as matches from d where list_contains(t, 'glacier') or list_contains(t, 'permafrost') or list_contains(t, 'monsoon')",
     "fts_restricted": _bm25(_THREE, _ANY, extra="and doc_id in (select doc_id from documents where lang = 'en')"),
-    "fts_multi_query": f"""with {_D}, q as (select item_id as q_idx, unnest({_TOK}) as term from eval_items where item_id < 20 and text is not null),
+    "fts_multi_query": f"""with {_D}, q as (select item_id as q_idx, unnest({_TOK}) as term from eval_items where text is not null),
       qt as (select q_idx, term, count(*) as times from q group by 1, 2), w as (select doc_id, len(t) as dl, unnest(t) as term from d),
       f as (select term, doc_id, dl, count(*) as tf from w where term in (select term from qt) group by 1, 2, 3), df as (select term, count(*) as df from f group by 1),
       sc as (select q_idx, doc_id, round(sum({_IDF.format(df='df')} * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl)) * times), 6) as score from f join df using (term) join qt using (term), st group by 1, 2)
@@ -156,27 +156,26 @@ ORACLES = {
       select work_id, id as canonical_id, copies from r where n = 1""",
     "boilerplate_lines": r"""with l as (select paper_id, unnest(string_split(raw_text, chr(10))[1:25]) as line from paper_text where raw_text is not null),
       n as (select distinct paper_id, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'), ' ')), '[0-9]+', '#', 'g') as line from l)
-      select line, count(*) as documents from n where line <> '' group by 1 having count(*) >= 3""",
+      select line, count(*) as documents from n where length(line) between 4 and 120 group by 1 having count(*) >= 3""",
     "title_containment": f"select id, {_contain('title', 'raw_text')} as score from papers left join paper_text on paper_id = id",
-    "verify_metadata": f"select *, score < 0.6::double as suspect from (select id, {_contain('title', 'raw_text')} as score from papers left join paper_text on paper_id = id where metadata_source is not null and not {_MISS})",
-    "audit_links": f"""with e as (select citekey as key, arg_min(title, entry_id) as bib_title, min(entry_id) as entry_id from (select citekey, coalesce(title, chr(0)) as title, entry_id from bib where {_INK.format(c='citekey')}) group by 1),
-      s as (select p.id, e.entry_id, {_contain('nullif(bib_title, chr(0))', 'raw_text')} as score from papers p join e on p.citekey = e.key join paper_text t on t.paper_id = p.id where {_INK.format(c='p.citekey')}) select id, entry_id, score from s where score < 0.6::double""",
+    "contained_titles": f"select *, score < 0.6::double as suspect from (select id, {_contain('title', 'raw_text')} as score from papers left join paper_text on paper_id = id where metadata_source is not null and not {_MISS})",
     "link_doi": f"select id, entry_id from {_DOI_LINK} p join {_DOI_BIB} b using (key)",
     "link_file": f"select id, entry_id from (select id, lower(filename) as key from papers) p join {_FILE_BIB} b using (key)",
-    "link_greedy_phases": f"""with m1 as (select id, entry_id from {_DOI_LINK} p join {_DOI_BIB} b using (key)), a1 as (select id, min(entry_id) as entry_id from (select entry_id, min(id) as id from m1 group by 1) group by 1),
+    "link_exact_phases": f"""with m1 as (select id, entry_id from {_DOI_LINK} p join {_DOI_BIB} b using (key)), a1 as (select id, min(entry_id) as entry_id from (select entry_id, min(id) as id from m1 group by 1) group by 1),
       p2 as (select id, lower(filename) as key from papers where id not in (select id from a1)), b2 as (select {_FILE} as key, max(entry_id) as entry_id from bib where {_INK.format(c='file')} and entry_id not in (select entry_id from a1) group by 1),
       m2 as (select id, entry_id from p2 join b2 using (key)), a2 as (select id, min(entry_id) as entry_id from (select entry_id, min(id) as id from m2 group by 1) group by 1)
       select id, entry_id, 'doi' as phase from a1 union all select id, entry_id, 'file' from a2""",
     "bib_missing": f"""select entry_id, citekey from bib where not exists (select 1 from papers p where {_INK.format(c='p.citekey')} and lower(p.citekey) = lower(bib.citekey))
       and not exists (select 1 from papers p where lower(p.filename) = {_FILE.replace('file,', 'bib.file,')}) and not exists (select 1 from papers p where {_INK.format(c='p.doi')} and {_INK.format(c='bib.doi')} and {_DOI.format(c='p.doi')} = {_DOI.format(c='bib.doi')})""",
-    "link_pull": f"""with e as (select * from (select entry_id, lower(citekey) as key, title as bt, year as by_, doi as bd, row_number() over (partition by lower(citekey) order by entry_id) as r from bib where {_INK.format(c='citekey')}) where r = 1),
-      l as (select p.id, e.entry_id, {_MANUAL} as manual, {_contain('bt', 'raw_text')} as held, concat_ws(',', case when bt is not null and bt is distinct from title then 'title' end, case when by_ is not null and by_ is distinct from year then 'year' end,
-        case when {_INK.format(c='bd')} and {_DOI.format(c='bd')} is distinct from (case when {_INK.format(c='doi')} then {_DOI.format(c='doi')} end) then 'doi' end) as changed
+    "link_pull_fields": f"""with e as (select * from (select entry_id, lower(citekey) as key, title as bt, year as by_, doi as bd, row_number() over (partition by lower(citekey) order by entry_id) as r from bib where {_INK.format(c='citekey')}) where r = 1),
+      l as (select p.id, e.entry_id, {_MANUAL} as manual, {_contain('bt', 'raw_text')} as held, concat_ws(',', case when bt <> '' and bt is distinct from title then 'title' end, case when by_ is not null and by_ is distinct from year then 'year' end,
+        case when {_INK.format(c='bd')} and {_DOI.format(c='bd')} is distinct from (case when {_INK.format(c='doi')} then {_DOI.format(c='doi')} end)
+          and not ({_INK.format(c='doi')} and coalesce(contains(lower(substr(raw_text, 1, 6000)), lower(doi)) and not contains(lower(substr(raw_text, 1, 6000)), {_DOI.format(c='bd')}), false)) then 'doi' end) as changed
         from papers p left join e on lower(p.citekey) = e.key left join paper_text t on t.paper_id = p.id where {_INK.format(c='p.citekey')}),
       a as (select id, case when entry_id is null then 'not_in_bib' when manual then 'manual' when held < 0.6::double then 'unverified' when changed = '' then 'no_change' else 'pull' end as action, changed from l)
       select id, action, case when action = 'pull' then changed else '' end as changed from a""",
     "citekey_base": f"select id, case when k = '' then 'unknown' else k end as base from (select id, {_KEYBASE} as k from papers)",
-    "embedding_text": r"""select distinct chunk_id, length(concat_ws(' | ', case when trim(p.title) <> '' then p.title end, case when trim(section_header) <> '' then section_header end, case when trim(c.text) <> '' then c.text end)) as n from chunks c left join papers p on p.id = c.doc_id""",
+    "embedding_text": r"""select distinct chunk_id, (concat_ws(' | ', case when trim(p.title) <> '' then p.title end, case when trim(section_header) <> '' then section_header end, case when trim(c.text) <> '' then c.text end)) as embedded from chunks c left join papers p on p.id = c.doc_id""",
     "page_fill": """with c as (select doc_id, chunk_index, any_value(page_start) as page_start, any_value(page_end) as page_end from chunks group by 1, 2)
       select doc_id, chunk_index, coalesce(page_start, last_value(page_end ignore nulls) over (partition by doc_id order by chunk_index rows between unbounded preceding and 1 preceding), first_value(page_start ignore nulls) over (partition by doc_id order by chunk_index rows between 1 following and unbounded following)) as page_start from c""",
     "read_range": "select distinct doc_id, chunk_index, char_offset, char_offset + length(text) as char_end from chunks where chunk_index between 2 and 4",
@@ -189,7 +188,90 @@ ORACLES = {
       f as (select k.file_hash, k.path, p.id, case when p.file_hash = k.file_hash and p.path = k.path then 0 when p.file_hash = k.file_hash then 1 else 2 end as tier from k join papers p on p.file_hash = k.file_hash or p.path = k.path),
       b as (select file_hash, path, min(tier) as tier from f group by 1, 2), t as (select f.file_hash, f.path, min(f.id) as id, count(distinct f.id) as n from f join b on f.file_hash = b.file_hash and f.path = b.path and f.tier = b.tier group by 1, 2)
       select k.file_hash, k.path, case when n = 1 then t.id end as paper_id, case when n is null then 'missing' when n > 1 then 'ambiguous' else 'found' end as status from k left join t on t.file_hash = k.file_hash and t.path = k.path""",
-    "collection_intersection": f"select id from papers where path in (select path from opens where path is not null) and {_INK.format(c='citekey')}",
+    "collection_intersection": f"select o.pos, id from papers join (select path, min(open_id) as pos from opens where path is not null group by 1) o using (path) where {_INK.format(c='citekey')}",
     "prune_papers": "select paper_id from paper_text where paper_id not in (select id from papers where path is null or path not in (select path from opens where path is not null))",
     "stream_opens_hourly": "select date_trunc('hour', opened_at) as hour, count(*) as opens from (select distinct * from opens) where opened_at is not null group by 1",
 }
+
+_IDENTITY = ORACLES["identity_match"]
+_OPENS = "(select distinct * from opens where file_hash is not null and path is not null)"
+_MEMBERS = f"""(select collection_id, file_hash, path, arg_max(op, batch) as last_op, arg_max(batch_id, batch) filter (where op = 'add') as batch_id, bool_or(batch_id = 'b4' and op = 'add') as in_b4 from
+  (select opened_by as collection_id, file_hash, path, open_id as batch, 'b' || (open_id % 10) as batch_id, case when page is null or open_id % 3 = 0 then 'remove' else 'add' end as op from {_OPENS}) group by 1, 2, 3)"""
+_LIVE = f"(select * from {_MEMBERS} where last_op = 'add')"
+_CHUNK_Q = "(select embedding as v from chunk_vec where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 order by chunk_id limit 1)"
+_CHUNK_ONLY = f"""s as (select e.id as chunk_id, {_COS.format(a='e.v', b='q.v')} as score from {_CV} e, {_CHUNK_Q} q),
+  c as (select chunk_id, min(doc_id) as doc_id from chunks where doc_id is not null group by 1), t as (select s.chunk_id, doc_id, score from s join c using (chunk_id) order by score desc, s.chunk_id limit 200),
+  oy as (select doc_id, max(score) as score from t where doc_id in (select id from papers where not coalesce(has_embeddings, false) and coalesce(has_chunk_embeddings, false)) group by 1 order by score desc, doc_id limit 20)"""
+_STEMS = "((instr(lower(text), 'deliberati') > 0)::bigint + (instr(lower(text), 'referend') > 0)::bigint + (instr(lower(text), 'legitima') > 0)::bigint + (instr(lower(text), 'ball') > 0)::bigint)"
+_TOP_CHUNK = f"(select doc_id, chunk_index, text from (select doc_id, chunk_index, text, row_number() over (partition by doc_id order by {_STEMS} desc, chunk_index) as r from (select distinct doc_id, chunk_index, text from chunks where text is not null) where {_STEMS} > 0) where r = 1)"
+_VEC_TOP = f"with {_SC.replace('from embeddings e', 'from (select * from embeddings where vec_id in (select doc_id from documents)) e')}, v as (select id as doc_id, row_number() over (order by score desc, id) as rank from s order by score desc, id limit 40)"
+_SUFFIX = "(case when s = 0 then '' when s <= 26 then chr((96 + s)::int) else chr((96 + (s - 27) // 26 + 1)::int) || chr((97 + (s - 27) % 26)::int) end)"
+_VERDICT = "case when seconds is null then 'later' when seconds > 600 then 'key' when seconds > 200 then 'good' when seconds > 60 then 'later' else 'doubt' end"
+_REPLAY = f"""recursive o as (select path as item, open_id as seq, opened_at as tt, {_VERDICT} as v, row_number() over (partition by path order by opened_at, open_id) as k from (select distinct path, open_id, opened_at, seconds from opens where path is not null)),
+  r as (select item, 0::bigint as k, 0.0::double as days, false as gone from (select distinct item from o)
+    union all select o.item, o.k, coalesce({_INTERVAL.format(v='o.v', p='r.days', first='(r.k = 0 or r.days = 0)')}, 0.0::double), o.v = 'done' from r join o on o.item = r.item and o.k = r.k + 1),
+  e as (select item, arg_max(days, k) as days, max(k) as reviews, arg_max(gone, k) as gone from r group by 1), l as (select item, arg_max(tt, k) as last_at from o group by 1),
+  p as (select item, reviews, case when not gone then days end as interval_days, case when not gone then last_at + to_microseconds((days * 86400000000)::bigint) end as due_at, last_at from e join l using (item))"""
+_ESC = "replace(replace(replace(replace(replace({c}, chr(92), chr(92) || 'textbackslash{{}}'), '&', chr(92) || '&'), '%', chr(92) || '%'), '#', chr(92) || '#'), '_', chr(92) || '_')"
+_NAMES = """list_filter(list_transform(case when starts_with(trim(authors, ' '), '[') and json_valid(trim(authors, ' ')) then from_json(trim(authors, ' '), '["VARCHAR"]') else string_split(trim(authors, ' '), ';') end, lambda x: trim(x, ' ')), lambda x: x <> '')"""
+_PEOPLE = f"array_to_string({_NAMES}, ' and ')"
+
+ORACLES |= {
+    "link_outcomes": f"select phase, count(*) as n from ({ORACLES['link_exact_phases']}) group by 1",
+    "link_apply": f"select p.id, coalesce(p.citekey, b.citekey) as citekey from papers p left join ({ORACLES['link_exact_phases']}) m on m.id = p.id left join bib b on b.entry_id = m.entry_id",
+    "queue_count": "select count(*) as n from papers where needs_ocr and citekey is null",
+    "collection_members": f"select collection_id, file_hash, path, batch_id from {_LIVE}",
+    "collection_resolved": f"""with i as ({_IDENTITY}) select collection_id, count(*) as count, count(*) filter (where status = 'found') as found, count(*) filter (where status = 'ambiguous') as ambiguous, count(*) filter (where status = 'missing') as missing
+      from {_LIVE} m join i using (file_hash, path) group by 1""",
+    "collection_undo": f"select collection_id, file_hash, path, case when last_op = 'add' then 'reversed' else 'already_removed' end as outcome from {_MEMBERS} where in_b4",
+    "collection_drift": f"""with i as ({_IDENTITY}), n as (select m.collection_id, p.file_hash, p.path from {_LIVE} m join i using (file_hash, path) join papers p on p.id = i.paper_id where p.file_hash is distinct from m.file_hash or p.path is distinct from m.path)
+      select distinct n.* from n where not exists (select 1 from {_LIVE} m where m.collection_id = n.collection_id and m.file_hash = n.file_hash and m.path = n.path)""",
+    "ledger_state_for": f"""with i as ({_IDENTITY}), t as (select open_id as item_id, file_hash, path, case when open_id % 2 = 0 then page end as page, opened_at as due_at, coalesce(seconds, 0) / 60.0::double as interval_days, case when open_id % 7 = 0 then logged_at end as retired_at from {_OPENS}),
+      j as (select t.*, paper_id from t join i using (file_hash, path) where paper_id is not null),
+      b as (select *, row_number() over (partition by paper_id order by (retired_at is not null)::int, case when retired_at is not null then -epoch_us(retired_at) else (page is not null)::int end, case when retired_at is not null then -item_id else epoch_us(due_at) end, item_id) as r, count(*) filter (where page is not null and retired_at is null) over (partition by paper_id) as passages from j),
+      o as (select paper_id, count(*) as opens, max(opened_at) as last_opened from {_OPENS} join i using (file_hash, path) where paper_id is not null group by 1)
+      select paper_id, item_id, case when retired_at is not null then 'done' when due_at <= timestamp '2026-01-01' then 'due' else 'scheduled' end as status, due_at, round(interval_days, 6) as interval_days, 'good' as last_verdict, passages, opens, last_opened from b join o using (paper_id) where r = 1""",
+    "inbox_status": f"select case when open_id % 7 = 0 and logged_at is not null then 'done' when opened_at <= timestamp '2026-01-01' then 'due' else 'scheduled' end as status, count(*) as items from {_OPENS} group by 1",
+    "inbox_replay": f"with {_REPLAY} select item, reviews, interval_days, due_at, last_at from p",
+    "inbox_due": f"with {_REPLAY} select item, reviews, interval_days, due_at, last_at from p where due_at <= timestamp '2026-01-01'",
+    "grep_fallback": """with r as (select distinct doc_id, chunk_index, text from chunks where text is not null union all select paper_id, null, raw_text from paper_text where raw_text <> '' and paper_id not in (select doc_id from chunks))
+      select doc_id, chunk_index, (instr(text, 'has rarely asked who records the') - 1)::bigint as start from r where contains(text, 'has rarely asked who records the')""",
+    "grep_not_found": """with r as (select doc_id, text from chunks union all select paper_id, raw_text from paper_text where paper_id not in (select doc_id from chunks))
+      select id as doc_id from papers where id not in (select doc_id from r where contains(text, 'has rarely asked who records the'))""",
+    "hybrid_chunk_only": f"with {_CHUNK_ONLY} select doc_id, score from oy",
+    "vector_leg": f"""with {_CHUNK_ONLY}, d as (select e.vec_id as doc_id, {_EMB} as score from embeddings e, (select embedding from embeddings where vec_id = 0) q where e.vec_id in (select id from papers where has_embeddings)),
+      t2 as (select doc_id, score, row_number() over (order by score desc, doc_id) as rank from d order by score desc, doc_id limit 40), u as (select doc_id, score, 0 as leg from t2 union all select doc_id, score, 1 from oy),
+      o as (select doc_id, score, leg from (select *, row_number() over (partition by doc_id order by score desc, leg) as r from u) where r = 1)
+      select doc_id, score, row_number() over (order by score desc, leg, doc_id) as rank from o order by score desc, leg, doc_id limit 40""",
+    "search_modes": f"""select 'fts' as mode, doc_id, rank, (select matches from ({ORACLES['fts_count']})) as total from ({ORACLES['fts_bm25_topk'].replace('limit 20', 'limit 40')})
+      where rank <= 20 union all select 'fts_only', doc_id, rank, (select matches from ({ORACLES['fts_count']})) from ({ORACLES['fts_bm25_topk'].replace('limit 20', 'limit 40')}) where rank <= 20
+      union all select 'vector_fallback', doc_id, rank, 20 from ({_VEC_TOP} select doc_id, rank from v) where rank <= 20
+      union all select 'hybrid', doc_id, row_number() over (order by score desc, coalesce(rank_fts, 2147483648), coalesce(rank_vector, 2147483648), doc_id), (select matches from ({ORACLES['fts_count']})) from ({ORACLES['hybrid_rrf'].replace('and doc_id in (select vec_id from embeddings)', '')})""",
+    "fts_syntax": f"with {_D} select d.doc_id from d join documents x on x.doc_id = d.doc_id where list_contains(regexp_extract_all(lower(x.lang), '([\\p{{L}}\\p{{N}}]+)', 1), 'en') and (list_contains(t, 'glacier') or list_contains(t, 'monsoon')) and not list_contains(t, 'permafrost')",
+    "fts_near": f"with {_D} select doc_id from d where len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'debate' and len(list_filter(range(1, len(t) + 1), lambda j: t[j] = 'records' and abs(j - i) <= 6)) > 0)) > 0",
+    "info_batch": f"""with a as (select doc_id as id from chunks union select id * 2 from papers), n as (select doc_id as id, count(distinct chunk_index) as chunks from chunks group by 1)
+      select a.id, p.id is not null as found, case when p.id is null then null when {_INK.format(c='p.title')} then p.title when {_INK.format(c='p.title_from_layout')} then p.title_from_layout else p.filename end as display_title,
+        case when p.id is null then null when {_INK.format(c='p.title')} then 'metadata' when {_INK.format(c='p.title_from_layout')} then 'layout' else 'filename' end as title_source, substr(t.raw_text, 1, 300) as head, coalesce(n.chunks, 0) as chunks, b.chunk_index as top_chunk, b.text as top_text
+      from a left join papers p on p.id = a.id left join paper_text t on t.paper_id = a.id left join n on n.id = a.id left join {_TOP_CHUNK} b on b.doc_id = a.id""",
+    "snippet_sources": f"select p.id as doc_id, case when b.doc_id is not null then 'term_chunk' when t.raw_text is not null then 'text' end as source from papers p left join {_TOP_CHUNK} b on b.doc_id = p.id left join paper_text t on t.paper_id = p.id",
+    "read_full_text": "select p.id, case when t.markdown <> '' then 'markdown' when t.raw_text is not null then 'raw' end as format, length(case when t.markdown <> '' then t.markdown else t.raw_text end) as n from papers p left join paper_text t on t.paper_id = p.id",
+    "read_owned_chunk": """select distinct chunk_id, case when chunk_id % 3 = 0 then doc_id + 1 else doc_id end as doc_id, coalesce(chunk_id % 3 <> 0, false) as owned, case when chunk_id % 3 <> 0 then length(text) end as n from chunks""",
+    "embedding_flags": f"select doc_id, count(*) filter (where id is null) = 0 as complete from (select distinct doc_id, chunk_id from chunks) c left join (select id from {_CV}) v on v.id = c.chunk_id group by 1",
+    "author_lists": f"select id, to_json({_NAMES})::varchar as names from papers",
+    "meta_repairs": "select id, 'authors' as repair from papers where authors is not null and not coalesce(starts_with(trim(authors, ' '), '[') and json_valid(trim(authors, ' ')), false)",
+    "file_name_parts": r"""select id, nullif(lower(regexp_extract(filename, '^([A-Za-z]+)((?:-[A-Za-z]+)*)[-_](\d{4})[-_]', 1)), '') as surname, nullif(regexp_extract(filename, '^([A-Za-z]+)((?:-[A-Za-z]+)*)[-_](\d{4})[-_]', 3), '')::int as year from papers""",
+    "cased_dois": r"""select id, regexp_replace(trim(doi, ' '), '^(https?://(dx\.)?doi\.org/|doi:\s*)(10\.)', '\3', 'i') as doi from papers where doi is not null""",
+    "section_headers": r"""with h as (select paper_id as doc_id, regexp_extract_all(markdown, '(?m)^#{2,3}[ \t]+(.*)$', 1) as h from paper_text where markdown is not null), n as (select doc_id, h, unnest(range(1, len(h) + 1)) as i from h)
+      select doc_id, (i - 1)::bigint as n, trim(h[i], ' ') as header from n""",
+    "vault_refs": r"""with r as (select entry_id::varchar as note, list_concat(list_concat(regexp_extract_all(abstract, '\[\[([^\]|#]+\.pdf)', 1), regexp_extract_all(abstract, '\]\(([^)\s]+\.pdf)\)', 1)), regexp_extract_all(abstract, '(?m)^source:\s*(\S+\.pdf)\s*$', 1)) as l from bib where abstract is not null)
+      select distinct note, string_split(x, '/')[-1] as ref from (select note, unnest(l) as x from r)""",
+    "schema_tables": """select table_name, column_name, case data_type when 'VARCHAR' then 'string' when 'INTEGER' then 'int' when 'TIMESTAMP' then 'timestamp_ntz' when 'FLOAT[]' then 'array<float>' else lower(data_type) end as type
+      from duckdb_columns() where table_name in ('papers', 'paper_text', 'bib', 'chunks', 'chunk_vec', 'opens')""",
+    "bib_export": f"""select id, '@' || case when {_INK.format(c='doi')} then 'article' else 'misc' end || '{{' || citekey || ',' || chr(10) || concat_ws(',' || chr(10), '  title = {{' || {_ESC.format(c='title')} || '}}', '  author = {{' || {_ESC.format(c=_PEOPLE)} || '}}',
+      '  year = {{' || year || '}}', '  doi = {{' || doi || '}}', '  file = {{pdf/' || filename || '}}') || chr(10) || '}}' || chr(10) as entry from papers where {_INK.format(c='citekey')}""",
+    "assign_citekeys": f"""with w as (select id, case when k = '' then 'unknown' else k end as base from (select id, {_KEYBASE} as k from papers where not {_INK.format(c='citekey')})), u as (select distinct lower(citekey) as k from papers where {_INK.format(c='citekey')}),
+      b as (select lower(base) as low, count(*) as n from w group by 1), c as (select low, n + (select count(*) from u where starts_with(u.k, b.low)) + 1 as top from b), g as (select low, unnest(range(0, top)) as s from c),
+      f as (select low, s, row_number() over (partition by low order by s) as place from g where low || {_SUFFIX} not in (select k from u)), a as (select id, base, lower(base) as low, row_number() over (partition by lower(base) order by id) as place from w)
+      select id, base || {_SUFFIX} as citekey from a join f using (low, place)""",
+    "process_outcomes": "select p.id, coalesce(has_text, false) or coalesce(t.raw_text is not null, false) as has_text, case when t.raw_text is not null then false else has_chunk_embeddings end as has_chunk_embeddings, case when t.paper_id is not null and t.raw_text is null then coalesce(error_count, 0) + 1 else error_count end as error_count from papers p left join paper_text t on t.paper_id = p.id",
+}

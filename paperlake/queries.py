@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlake.operators import chunking, find, grep, identity, ledger, library, link, metadata, queue, search, works
+from paperlake.operators import chunking, collections, find, frontmatter, grep, identity, inbox, ledger, library, link, metadata, process, queue, repairs, retrieval, search, works
 from paperlake.operators.components import components
+from paperlake.operators.index import KeywordIndex, index_of
 from paperlake.operators.unpack import unpack
 from paperlake.oracles import ORACLES
 from paperlake.sources import sinks
@@ -29,6 +31,11 @@ def docs(s: SparkSession, d: str) -> DataFrame:
     return search.tokenized(table(s, d, "documents"), "doc_id", "text")
 
 
+def idx(s: SparkSession, d: str) -> KeywordIndex:
+    """The keyword index of the documents, built at the first query of a session."""
+    return index_of(s, table(s, d, "documents"), "doc_id", "text", f"{d}/documents")
+
+
 def english(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("lang = 'en'").select("doc_id")
 
@@ -47,7 +54,7 @@ def ask(s: SparkSession, d: str, ids: str) -> DataFrame:
 
 
 def first_scores(s: SparkSession, d: str) -> DataFrame:
-    return search.knn(vectors(s, d), ask(s, d, "vec_id = 0"), k=2**30)
+    return search.scores(vectors(s, d), ask(s, d, "vec_id = 0"))
 
 
 def labelled_scores(s: SparkSession, d: str) -> DataFrame:
@@ -67,43 +74,43 @@ def p6_found(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def fts_bm25_topk(s, d):
-    return search.bm25(docs(s, d), KEYWORDS)
+    return search.bm25(idx(s, d), KEYWORDS)
 
 
 @query
 def fts_bool_and_not(s, d):
-    return search.bm25(docs(s, d), "referendum ballot NOT petition")
+    return search.bm25(idx(s, d), "referendum ballot NOT petition")
 
 
 @query
 def fts_phrase(s, d):
-    return search.bm25(docs(s, d), '"as figure 10 shows"')
+    return search.bm25(idx(s, d), '"as figure 10 shows"')
 
 
 @query
 def fts_prefix(s, d):
-    return search.bm25(docs(s, d), "delib*")
+    return search.bm25(idx(s, d), "delib*")
 
 
 @query
 def fts_page_normalized(s, d):
-    return search.page_normalized(search.bm25(docs(s, d), KEYWORDS))
+    return search.page_normalized(search.bm25(idx(s, d), KEYWORDS))
 
 
 @query
 def fts_count(s, d):
-    return search.matches(docs(s, d), KEYWORDS).agg(F.count("*").alias("matches"))
+    return search.matches(idx(s, d), KEYWORDS).agg(F.count("*").alias("matches"))
 
 
 @query
 def fts_restricted(s, d):
-    return search.bm25(docs(s, d), KEYWORDS, restrict=english(s, d))
+    return search.bm25(idx(s, d), KEYWORDS, restrict=english(s, d))
 
 
 @query
 def fts_multi_query(s, d):
-    items = table(s, d, "eval_items").where("item_id < 20 and text is not null").select(F.col("item_id").alias("q_idx"), F.col("text").alias("q"))
-    return search.bm25_batch(docs(s, d), items, limit=5)
+    items = table(s, d, "eval_items").where("text is not null").select(F.col("item_id").alias("q_idx"), F.col("text").alias("q"))
+    return idx(s, d).batch(items, limit=5)
 
 
 @query
@@ -113,13 +120,13 @@ def fts_stemmed(s, d):
 
 @query
 def search_snippets(s, d):
-    found = search.bm25(docs(s, d), KEYWORDS)
+    found = search.bm25(idx(s, d), KEYWORDS)
     return search.snippets(found, table(s, d, "documents").select("doc_id", "text"), KEYWORDS)
 
 
 @query
 def index_postings(s, d):
-    return search.term_stats(docs(s, d))
+    return idx(s, d).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query
@@ -175,7 +182,7 @@ def cascade(s, d):
 @query
 def hybrid_rrf(s, d):
     shared = table(s, d, "documents").select("doc_id").join(vectors(s, d).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    keyword = search.bm25(docs(s, d), KEYWORDS, limit=40, restrict=shared)
+    keyword = search.bm25(idx(s, d), KEYWORDS, limit=40, restrict=shared)
     near = vectors(s, d).join(shared.select(F.col("doc_id").alias("id")), "id", "left_semi")
     vector = search.knn(near, ask(s, d, "vec_id = 0"), k=40).select(F.col("id").alias("doc_id"), "score", "rank")
     return search.rrf(keyword, vector)
@@ -185,7 +192,7 @@ def hybrid_rrf(s, d):
 def hybrid_folded(s, d):
     copies = table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
     groups = copies.join(copies.groupBy("h").agg(F.min("doc_id").alias("work_id")), "h").select("doc_id", "work_id")
-    return search.folded(search.bm25(docs(s, d), KEYWORDS, limit=60), groups, 20).select("doc_id", "work_id", "score", "rank")
+    return search.folded(search.bm25(idx(s, d), KEYWORDS, limit=60), groups, 20).select("doc_id", "work_id", "score", "rank")
 
 
 @query
@@ -198,6 +205,92 @@ def snippet_window(s, d):
     return search.snippet_window(table(s, d, "documents").select("doc_id", "text"), "referendum ballot")
 
 
+@query
+def search_modes(s, d):
+    """The same library asked in several ways: each mode with its results and the number of all matches."""
+    shared = table(s, d, "documents").select("doc_id").join(vectors(s, d).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    near = vectors(s, d).join(shared.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    vector = search.knn(near, ask(s, d, "vec_id = 0"), k=40).select(F.col("id").alias("doc_id"), "score", "rank")
+    plain = lambda: search.bm25(idx(s, d), KEYWORDS, limit=40)
+    bad = lambda: search.syntax_matches(search.fielded(table(s, d, "documents"), "doc_id", text=F.col("text")), "title:(glacier")
+    count = lambda: search.matches(idx(s, d), KEYWORDS).count()
+    asked = [retrieval.run(plain, count, vector), retrieval.run(plain, count, None), retrieval.run(plain, count, vector, keyword_only=True), retrieval.run(bad, count, vector)]
+    parts = [o.results.select(F.lit(o.mode).alias("mode"), "doc_id", F.col("rank").cast("bigint").alias("rank"), F.lit(o.total).cast("bigint").alias("total")) for o in asked]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def fts_syntax(s, d):
+    """A query of the index syntax over two columns."""
+    rows = search.fielded(table(s, d, "documents").where("text is not null"), "doc_id", lang=F.col("lang"), text=F.col("text"))
+    return search.syntax_matches(rows, "lang:en AND text:(glacier OR monsoon) NOT permafrost").select("doc_id")
+
+
+@query
+def fts_near(s, d):
+    rows = search.fielded(table(s, d, "documents").where("text is not null"), "doc_id", text=F.col("text"))
+    return search.syntax_matches(rows, "NEAR(debate records, 5)").select("doc_id")
+
+
+def chunk_query(s, d):
+    """A stated vector query: the usable chunk vector of the smallest id."""
+    usable = table(s, d, "chunk_vec").where(search.usable("embedding", 64))
+    first = usable.groupBy().agg(F.min_by("embedding", "chunk_id").alias("qvec"))
+    return first.select(F.lit(0).cast("bigint").alias("q_idx"), "qvec")
+
+
+@query
+def hybrid_chunk_only(s, d):
+    return retrieval.chunk_only(papers(s, d), table(s, d, "chunks"), table(s, d, "chunk_vec"), chunk_query(s, d), 64)
+
+
+@query
+def vector_leg(s, d):
+    """Document vectors and chunk-only papers in one ranking."""
+    p = papers(s, d)
+    have = p.where("has_embeddings").select("id")
+    near = search.knn(vectors(s, d).join(have, "id", "left_semi"), ask(s, d, "vec_id = 0"), k=40).select(F.col("id").alias("doc_id"), "score")
+    return retrieval.vector_leg(near, hybrid_chunk_only(s, d), 40)
+
+
+@query
+def info_batch(s, d):
+    asked = table(s, d, "chunks").select(F.col("doc_id").alias("id")).union(papers(s, d).select((F.col("id") * 2).alias("id")))
+    found = retrieval.info(asked, papers(s, d), table(s, d, "paper_text"), table(s, d, "chunks"), "deliberation referendum legitimacy ballot")
+    return found.select("id", "found", "display_title", "title_source", "head", "chunks", "top_chunk", "top_text")
+
+
+@query
+def search_with_snippets(s, d):
+    """Papers found in the keyword index with the best snippet of each."""
+    found = search.bm25(index_of(s, table(s, d, "paper_text"), "paper_id", "raw_text", f"{d}/paper_text"), KEYWORDS)
+    near = retrieval.chunk_scores(table(s, d, "chunks"), table(s, d, "chunk_vec"), chunk_query(s, d), 64, 200)
+    return retrieval.with_snippets(found, table(s, d, "chunks"), table(s, d, "paper_text"), KEYWORDS, near)
+
+
+@query
+def snippet_sources(s, d):
+    found = papers(s, d).select(F.col("id").alias("doc_id"))
+    return retrieval.snippet_sources(found, table(s, d, "chunks"), table(s, d, "paper_text"), "deliberation referendum legitimacy ballot").select("doc_id", "source")
+
+
+@query
+def read_full_text(s, d):
+    got = retrieval.full_text(papers(s, d).select("id"), table(s, d, "paper_text"))
+    return got.select("id", "format", F.length("text").cast("bigint").alias("n"))
+
+
+@query
+def read_owned_chunk(s, d):
+    asked = table(s, d, "chunks").select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id"))
+    return retrieval.owned_chunks(asked, table(s, d, "chunks")).select("chunk_id", "doc_id", F.coalesce("owned", F.lit(False)).alias("owned"), F.length("text").cast("bigint").alias("n"))
+
+
+@query
+def embedding_flags(s, d):
+    return retrieval.embedded_flags(table(s, d, "chunks"), table(s, d, "chunk_vec").where(search.usable("embedding", 64)))
+
+
 @query
 def find_tiers(s, d):
     return find.find(papers(s, d), "referendum 2014", limit=50, ascii_only=True)
@@ -220,6 +313,19 @@ def grep_ignore_case(s, d):
     return grep.grep_exact(chunk_rows(s, d), NEEDLE.upper(), ignore_case=True)
 
 
+@query
+def grep_fallback(s, d):
+    """Chunks, and the raw text of papers without chunks."""
+    return grep.grep_exact(grep.searched(table(s, d, "chunks"), table(s, d, "paper_text")), NEEDLE)
+
+
+@query
+def grep_not_found(s, d):
+    """Papers that hold the quote nowhere."""
+    hits = grep_fallback(s, d)
+    return grep.report(hits, 50, papers(s, d).select(F.col("id").alias("doc_id")))[2]
+
+
 @query
 def grep_normalized(s, d):
     rows = table(s, d, "paper_text").select(F.col("paper_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("raw_text").alias("text"))
@@ -254,6 +360,11 @@ def queue_miss(s, d):
     return queue.queue(papers(s, d), is_=("enrich-miss",))
 
 
+@query
+def queue_count(s, d):
+    return queue.count(papers(s, d), needs=("ocr", "citekey"))
+
+
 @query
 def queue_suspicious(s, d):
     return queue.queue(queue.with_text_length(papers(s, d), table(s, d, "paper_text")), is_=("suspicious",))
@@ -379,6 +490,40 @@ def verify_metadata(s, d):
     return metadata.verify(papers(s, d), table(s, d, "paper_text"))
 
 
+@query
+def title_guesses(s, d):
+    return frontmatter.title_guesses(table(s, d, "paper_text"))
+
+
+@query
+def contained_titles(s, d):
+    """Papers with metadata whose stored title the text holds or lacks, by words alone."""
+    text = table(s, d, "paper_text").select(F.col("paper_id").alias("id"), "raw_text")
+    scored = papers(s, d).where(queue.is_enriched()).join(text, "id", "left").select("id", metadata.containment("title", "raw_text").alias("score"))
+    return scored.withColumn("suspect", F.col("score") < metadata.CONTAINED)
+
+
+@query
+def meta_repairs(s, d):
+    return repairs.repaired(papers(s, d))[1]
+
+
+@query
+def author_lists(s, d):
+    return papers(s, d).select("id", F.to_json(repairs.author_list(F.col("authors"))).alias("names"))
+
+
+@query
+def file_name_parts(s, d):
+    surname, year = repairs.file_name_parts(F.col("filename"))
+    return papers(s, d).select("id", surname.alias("surname"), year.alias("year"))
+
+
+@query
+def cased_dois(s, d):
+    return papers(s, d).where("doi is not null").select("id", repairs.cased_doi(F.col("doi")).alias("doi"))
+
+
 @query
 def audit_links(s, d):
     return metadata.audit(papers(s, d), table(s, d, "bib"), table(s, d, "paper_text"))
@@ -411,9 +556,31 @@ def link_title_similarity(s, d):
 
 @query
 def link_greedy_phases(s, d):
+    return link.reconcile(papers(s, d), table(s, d, "bib"))
+
+
+@query
+def link_exact_phases(s, d):
     return link.reconcile(papers(s, d), table(s, d, "bib"), with_titles=False)
 
 
+@query
+def link_outcomes(s, d):
+    return metadata.outcomes(link_exact_phases(s, d), "phase")
+
+
+@query
+def link_apply(s, d):
+    return link.apply_matches(papers(s, d), link_exact_phases(s, d), table(s, d, "bib")).select("id", "citekey")
+
+
+@query
+def link_apply_suggested(s, d):
+    """Suggested keys applied to every paper that has a suggestion, in the order of ids."""
+    found = link_suggest(s, d)
+    return link.apply_suggestions(papers(s, d), found, found.select(F.col("id").alias("pos"), "id"))[1]
+
+
 @query
 def bib_missing(s, d):
     return link.missing(table(s, d, "bib"), papers(s, d))
@@ -426,7 +593,13 @@ def link_suggest(s, d):
 
 @query
 def link_pull(s, d):
-    return link.pull(papers(s, d), table(s, d, "bib"), table(s, d, "paper_text"))
+    return link.pull(papers(s, d), table(s, d, "bib"), table(s, d, "paper_text")).select("id", "action", "changed", F.to_json("old").alias("old"), F.to_json("new").alias("new"))
+
+
+@query
+def link_pull_fields(s, d):
+    """Only title, year and DOI are pulled."""
+    return link.pull(papers(s, d).drop("authors"), table(s, d, "bib"), table(s, d, "paper_text")).select("id", "action", "changed")
 
 
 @query
@@ -463,7 +636,7 @@ def section_headers(s, d):
 @query
 def embedding_text(s, d):
     p = papers(s, d).select(F.col("id").alias("doc_id"), "title")
-    return table(s, d, "chunks").join(p, "doc_id", "left").select("chunk_id", F.length(chunking.embedding_text()).cast("bigint").alias("n")).distinct()
+    return table(s, d, "chunks").join(p, "doc_id", "left").select("chunk_id", chunking.embedding_text().alias("embedded")).distinct()
 
 
 @query
@@ -534,10 +707,78 @@ def identity_match(s, d):
     return identity.match(table(s, d, "opens").where("file_hash is not null and path is not null"), papers(s, d))
 
 
+def collection_events(s, d):
+    """Opens as events of collections: one for each reader; what was opened without a page, or every third time, was removed."""
+    o = table(s, d, "opens").where("file_hash is not null and path is not null").distinct()
+    gone = F.col("page").isNull() | (F.col("open_id") % 3 == 0)
+    return o.select(
+        F.lit("member").alias("kind"), F.when(gone, "remove").otherwise("add").alias("op"), F.col("open_id").alias("batch"), F.concat(F.lit("b"), F.col("open_id") % 10).alias("batch_id"),
+        F.col("opened_by").alias("collection_id"), F.xxhash64("opened_by", "file_hash", "path").alias("member_id"), "file_hash", "path",
+        *(F.lit(None).cast("string").alias(c) for c in ("filename", "title", "citekey", "why")), F.col("opened_by").alias("by"), F.col("opened_at").alias("at"),
+    )
+
+
+@query
+def collection_members(s, d):
+    return collections.members_now(collection_events(s, d)).where("live").select("collection_id", "file_hash", "path", "batch_id")
+
+
+@query
+def collection_resolved(s, d):
+    """Live members of each collection: how many, and how many are a paper, ambiguous or missing now."""
+    now = collections.resolved(collections.members_now(collection_events(s, d)).where("live"), papers(s, d))
+    counts = [F.count_if(F.col("status") == x).alias(x) for x in ("found", "ambiguous", "missing")]
+    return now.groupBy("collection_id").agg(F.count("*").alias("count"), *counts)
+
+
+@query
+def collection_undo(s, d):
+    """What undoing the additions of batch b4 would reverse, and what not."""
+    events = collection_events(s, d)
+    mine, skipped = collections.undo_members(events, "b4", "add")
+    states = collections.members_now(events)
+    done = states.join(mine, "member_id", "left_semi").select("collection_id", "file_hash", "path", F.lit("reversed").alias("outcome"))
+    left = states.join(mine, "member_id", "left_anti").join(events.where("batch_id = 'b4' and op = 'add'").select("member_id"), "member_id", "left_semi")
+    return done.unionByName(left.select("collection_id", "file_hash", "path", F.lit("already_removed").alias("outcome")))
+
+
+@query
+def collection_drift(s, d):
+    """Live members whose paper has another hash or path now, with the new keys; a key that a member has is left."""
+    now = collections.resolved(collections.members_now(collection_events(s, d)).where("live"), papers(s, d))
+    moved, _ = collections.drifted_keys(now, papers(s, d), ["collection_id"])
+    return moved.select("collection_id", "file_hash", "path").distinct()
+
+
+def inbox_items(s, d):
+    """Opens as inbox items: a passage where a page is known, due when opened, every seventh done."""
+    o = table(s, d, "opens").where("file_hash is not null and path is not null").distinct()
+    done = F.col("open_id") % 7 == 0
+    return o.select(
+        F.col("open_id").alias("item_id"), "file_hash", "path", F.when(F.col("open_id") % 2 == 0, F.col("page")).alias("page"), F.col("opened_at").alias("due_at"),
+        (F.coalesce("seconds", F.lit(0.0)) / 60).alias("interval_days"), F.lit("good").alias("last_verdict"), F.when(done, F.col("logged_at")).alias("retired_at"),
+    )
+
+
+@query
+def ledger_state_for(s, d):
+    now = F.lit("2026-01-01").cast("timestamp_ntz")
+    state = inbox.state_for(inbox_items(s, d), table(s, d, "opens").where("file_hash is not null and path is not null").distinct(), papers(s, d), now)
+    return state.withColumn("interval_days", F.round("interval_days", 6))
+
+
+@query
+def inbox_status(s, d):
+    now = F.lit("2026-01-01").cast("timestamp_ntz")
+    return inbox_items(s, d).groupBy(inbox.status_at(now).alias("status")).agg(F.count("*").alias("items"))
+
+
 @query
 def collection_intersection(s, d):
-    read = table(s, d, "opens").where("path is not null").select("path").distinct()
-    return papers(s, d).join(read, "path", "left_semi").where(works.has_ink("citekey")).select("id")
+    """Papers asked for by the log, in the order of their first opening, that have a citekey."""
+    o = table(s, d, "opens").where("path is not null").groupBy("path").agg(F.min("open_id").alias("pos"))
+    asked = papers(s, d).join(o, "path").select("pos", "id")
+    return sinks.in_order(asked, papers(s, d).where(works.has_ink("citekey")).select("id"))
 
 
 # --- files, notes, catalog ---
@@ -558,9 +799,42 @@ def vault_refs(s, d):
 
 @query
 def schema_tables(s, d):
-    names = ("papers", "paper_text", "bib", "chunks", "chunk_vec", "opens")
-    columns = [table(s, d, n).limit(0) for n in names]
-    return s.createDataFrame([(n, f.name, f.dataType.simpleString()) for n, t in zip(names, columns) for f in t.schema.fields], "table_name string, column_name string, type string")
+    return library.describe({n: table(s, d, n) for n in ("papers", "paper_text", "bib", "chunks", "chunk_vec", "opens")})
+
+
+def listed_files(s, d):
+    """A listing of files as a scan would give it: most papers as they are, some touched, changed, gone or new."""
+    p = papers(s, d).where("path is not null")
+    kept = p.where("id % 11 <> 0").select(
+        "path", F.col("file_size").alias("length"), F.when(F.col("id") % 5 == 0, F.col("file_modified") + F.expr("interval 1 hour")).otherwise(F.col("file_modified")).alias("modified"),
+        F.when(F.col("id") % 10 == 0, F.concat("file_hash", F.lit("x"))).otherwise(F.col("file_hash")).alias("hash"),
+    )
+    new = p.where("id % 13 = 0").select(F.concat("path", F.lit(".new.pdf")).alias("path"), F.lit(1).cast("bigint").alias("length"), "file_modified", F.concat(F.lit("new"), "id").alias("hash"))
+    return kept.union(new)
+
+
+@query
+def ingest_files(s, d):
+    p = papers(s, d).dropDuplicates(["path"])
+    out, _ = process.ingest(p.withColumn("id", F.col("id")), listed_files(s, d).dropDuplicates(["path"]), now=F.lit("2026-01-01").cast("timestamp_ntz"))
+    return out.select("id", "path", "filename", "file_hash", "file_size", "has_text", "has_embeddings")
+
+
+@query
+def process_outcomes(s, d):
+    """Texts put into an empty library; papers whose text is null fail."""
+    p = papers(s, d)
+    got = p.join(table(s, d, "paper_text").select(F.col("paper_id").alias("id"), "raw_text", "markdown"), "id")
+    error = F.when(F.col("raw_text").isNull(), F.lit("no text"))
+    empty = process.Library(p, table(s, d, "paper_text").limit(0), table(s, d, "chunks").limit(0), table(s, d, "chunk_vec").limit(0))
+    done = process.process(empty, got.select("id", "raw_text", F.coalesce("markdown", F.lit("")).alias("markdown"), error.alias("error")))
+    return done.papers.select("id", "has_text", "has_chunk_embeddings", "error_count")
+
+
+@query
+def page_backfill(s, d):
+    pages = table(s, d, "paper_text").where("raw_text is not null").select(F.col("paper_id").alias("doc_id"), F.posexplode(F.split("raw_text", "\f")).alias("page_no", "text"))
+    return process.page_backfill(table(s, d, "chunks"), pages, papers(s, d))[1]
 
 
 @query

@@ -29,5 +29,10 @@ def first_seen(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.groupBy(id_col).agg(F.min(F.struct("q_idx", "rank")).alias("at")).orderBy("at").select(id_col)
 
 
+def in_order(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """(pos, id) of asked ids that are members, each once, in the order asked."""
+    return asked.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("pos").alias("pos")).select("pos", "id").orderBy("pos", "id")
+
+
 def write_text(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "errorifexists").text(path)

@@ -76,7 +76,6 @@ def test_search_hostile_and_prefix(spark):
     assert [r.doc_id for r in search.bm25(docs, "adapt*").collect()] == [4] and search.bm25(docs, '"climate change"').collect() == []
     for q in ("", '"', "*", "NOT", "AND OR", "a:b(c)^2", "'; drop", "\\", "NEAR("):
         search.bm25(docs, q).collect()
-    assert search.postings(docs).where("term = 'zebra'").count() == 2
 
 
 def test_components_random(spark):
