@@ -118,7 +118,7 @@ def shown_size(n: Column) -> Column:
     steps = ((2**40, "TB"), (2**30, "GB"), (2**20, "MB"), (2**10, "KB"))
     out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
     for size, unit in reversed(steps):
-        out = F.when(n >= size, F.concat(F.format_number(n / size, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= size, F.concat(F.format_string("%.1f", n / size), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -130,4 +130,4 @@ def shown_duration(seconds: Column) -> Column:
 
 
 def shown_share(part: Column, whole: Column) -> Column:
-    return F.concat(F.format_number(F.when(whole > 0, 100.0 * part / whole).otherwise(0.0), "0.0"), F.lit("%"))
+    return F.concat(F.format_string("%.1f", F.when(whole > 0, 100.0 * part / whole).otherwise(0.0)), F.lit("%"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_COPIES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,5 +37,27 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperlake-{label}-{uuid.uuid4().hex}"
+    _remember(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    """Note a copy, to be deleted at the end of the run."""
+    app = spark.sparkContext.applicationId
+    if app not in _COPIES:
+        _COPIES[app] = []
+        atexit.register(release, spark)
+    _COPIES[app].append(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the copies of this run from the shared folder; what reads them can't be computed again after it."""
+    if spark.sparkContext._jsc is None:  # stopped: nothing can be reached any more
+        return 0
+    paths = _COPIES.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

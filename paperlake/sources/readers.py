@@ -67,10 +67,34 @@ def read_vault(spark: SparkSession, path: str) -> DataFrame:
     return notes.select(F.input_file_name().alias("note"), F.col("value").alias("text"))
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, length, modified, hash) of the files of a folder; unreadable ones are skipped."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true").load(path)
-    return found.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("hash"))
+MAX_PATHS = 10_000  # changed files that are named to the reader; of more, the whole folder is read
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf", papers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((path, length, modified, hash) of the files that can be read, (path) of all files of a folder).
+
+    With papers, only files whose path, size or time are new are read; the others keep their hash.
+    """
+    files = lambda where: spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(where)
+    listed = files(path).select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
+    hashed = lambda df: df.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"), F.sha2("content", 256).alias("hash"))
+    if papers is None:
+        return hashed(files(path)), listed.select("path")
+    known = papers.select("path", F.col("file_size").alias("length"), F.col("file_modified").alias("modified"), F.col("file_hash").alias("hash"))
+    same = listed.join(known, ["path", "length", "modified"])
+    changed = [r["path"] for r in listed.join(known, ["path", "length", "modified"], "left_anti").select("path").limit(MAX_PATHS + 1).collect()]
+    if len(changed) > MAX_PATHS:
+        fresh = hashed(files(path)).join(same.select("path"), "path", "left_anti")
+    else:
+        fresh = hashed(files(changed)) if changed else same.limit(0)
+    return same.select("path", "length", "modified", "hash").unionByName(fresh), listed.select("path")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, id) of the ids in a file, parted by commas or white space, once each; any other token fails the job."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"[,\s]+"), lambda x: x != "")).alias("pos", "token"))
+    checked = F.when(F.col("token").rlike(r"^\d+$"), F.col("token").cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("not an id: "), F.col("token"))).cast("bigint"))
+    return lines.select("pos", checked.alias("id")).groupBy("id").agg(F.min("pos").alias("pos")).select("pos", "id").orderBy("pos")
 
 
 def parse_ids(text: str) -> list[int]:
