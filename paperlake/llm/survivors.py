@@ -32,15 +32,15 @@ _SURVIVOR = T.StructType(
 
 
 def layers(points: list[tuple[int, ...]]) -> list[int]:
-    """Dominance layer of each point, from 1; smaller is better in every place."""
-    out, left, layer = [0] * len(points), set(range(len(points))), 0
-    while left:
-        layer += 1
-        free = [i for i in left if not any(points[j] != points[i] and all(a <= b for a, b in zip(points[j], points[i])) for j in left)]
-        for i in free:
-            out[i] = layer
-        left -= set(free)
-    return out
+    """Dominance layer of each point, from 1; smaller is better in every place.
+
+    A point's layer is one more than the largest of its dominators, which all come before it
+    in lexicographic order; equal points are looked at once.
+    """
+    layer: dict[tuple[int, ...], int] = {}
+    for p in sorted(set(points)):
+        layer[p] = 1 + max((n for q, n in layer.items() if all(a <= b for a, b in zip(q, p))), default=0)
+    return [layer[p] for p in points]
 
 
 @pandas_udf(_SURVIVOR)
