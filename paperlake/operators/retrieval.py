@@ -28,8 +28,8 @@ class Outcome:
 
 def chunk_scores(chunks: DataFrame, chunk_vec: DataFrame, query: DataFrame, dim: int, k: int | None = None) -> DataFrame:
     """(chunk_id, doc_id, score): cosine of the usable chunk vectors with the query, the best k or all."""
-    usable = chunk_vec.where(search.usable("embedding", dim)).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec"))
-    scored = search.scores(usable, query, k).dropDuplicates(["id"])
+    usable = chunk_vec.where(search.usable("embedding", dim)).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vec")).dropDuplicates(["id"])
+    scored = search.scores(usable, query, k)
     owners = chunks.where("doc_id is not null").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
     met = scored.join(owners, scored.id == owners.chunk_id).select("chunk_id", "doc_id", "score")
     return met if k is None else met.orderBy(F.desc("score"), "chunk_id").limit(k)

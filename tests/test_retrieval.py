@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,21 @@ def test_numbers_and_copies(spark):
     got = [r.n for r in numbered(df, ["x"], start=5).orderBy("x").collect()]
     assert got == list(range(5, 1005)) and numbered(df.limit(0), ["x"]).count() == 0
     assert materialize(spark.range(3)).count() == 3 and callable(release)
+
+
+def test_nearest_of_more_queries_than_one_pass_holds(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_QUERIES", 7)
+    monkeypatch.setattr(search, "MAX_KEPT", 15)  # 5 queries a pass
+    rng = np.random.default_rng(1)
+    own = rng.normal(size=(60, 4)).astype(np.float32)
+    x = np.concatenate([own, own, own])  # copies tie, the smaller id counts
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>").repartition(3)
+    asked = rows.where("id % 5 = 0").select(F.col("id").alias("q_idx"), F.col("vec").alias("qvec"))
+    got = sorted((r.q_idx, r["rank"], r.id, r.score) for r in search.knn(rows, asked, k=3).collect())
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = []
+    for q in range(0, len(x), 5):
+        s = np.round(unit @ unit[q], 4)
+        want += [(q, n + 1, int(i), float(s[i])) for n, i in enumerate(np.lexsort((np.arange(len(x)), -s))[:3])]
+    assert got == want
+    assert search.scores(rows, asked).count() == len(x) * 36
