@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from paperlake.functions import latex, packed, titles
 from paperlake.functions.names import given_name_first, surnames
 from paperlake.functions.titles import normal_doi
-from paperlake.operators.metadata import containment
+from paperlake.operators.metadata import HEAD_CHARS, containment, head_words, share_held, title_words
 from paperlake.operators.repairs import author_list
 from paperlake.operators.works import display_title, has_ink
 from paperlake.plans.lineage import materialize
@@ -21,6 +21,8 @@ SIMILAR, CERTAIN = 0.85, 0.95
 TIERS = ("strong", "title", "weak", "filename")
 CUT_SHORT = 12  # least characters of a title that counts as the start of a longer one
 BLOCK = 2_000  # titles of a side, over all lengths, that are compared in one group
+HELD_PAPERS, HELD_ENTRIES = 16_384, 4_096  # papers and entries that meet in one group by the words that texts hold
+PAIRS, LANES, LONG = 50_000, 4_096, 256  # pairs gathered, pairs aligned at a time; titles that are longer are aligned one by one
 # Words a citekey skips, characters BibTeX escapes.
 KEY_STOPWORDS = ("a", "an", "the", "of", "in", "on", "for", "and", "to")
 _ESCAPES = (("\\", r"\\textbackslash{}"), ("&", r"\\&"), ("%", r"\\%"), ("#", r"\\#"), ("_", r"\\_"))
@@ -115,6 +117,162 @@ def similar_titles(papers: DataFrame, bib: DataFrame, threshold: float = SIMILAR
     return met.select("id", "entry_id", "ratio", "guess", "year", "bib_year").distinct()
 
 
+def _counts(texts: list[str]) -> np.ndarray:
+    return np.array([[t.count(c) for c in _LETTERS] for t in texts], dtype=np.int16).reshape(len(texts), len(_LETTERS))
+
+
+_CODE = np.full(128, len(_LETTERS), np.int64)  # for any other sign a number that matches none
+_CODE[[ord(c) for c in _LETTERS]] = np.arange(len(_LETTERS))
+
+
+def _signs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, number of the letter, place) of every letter of plain titles."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    sign = _CODE[np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)]
+    return of, sign, np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+
+
+def _commons(ts: list[str], us: list[str], j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """``_common`` of many pairs (ts[j], us[k]) at once; a title's letters are bits of 64-bit words."""
+    lengths, out = np.array([len(t) for t in ts]), np.zeros(len(j), np.int64)
+    last = len(_LETTERS)
+    for width in range(1, LONG // 64 + 1):
+        pairs = np.flatnonzero((lengths[j] + 63) // 64 == width)
+        if not len(pairs):
+            continue
+        t_of, t_at = np.unique(j[pairs], return_inverse=True)
+        u_of, u_at = np.unique(k[pairs], return_inverse=True)
+        of, sign, at = _signs([ts[t] for t in t_of])
+        places = np.zeros((width, last + 1, len(t_of)), np.uint64)
+        np.bitwise_or.at(places, (at // 64, sign, of), np.uint64(1) << (at % 64).astype(np.uint64))
+        places[:, last] = 0
+        of, sign, at = _signs([us[u] for u in u_of])
+        long = np.bincount(of, minlength=len(u_of))
+        signs = np.full((long.max(), len(u_of)), last, np.int64)
+        signs[at, of] = sign
+        signs *= len(t_of)  # rows of places as they lie in memory
+        places, size = places.reshape(width, -1), lengths[t_of]
+        whole = np.array([[(1 << int(min(max(n - 64 * w, 0), 64))) - 1 for n in size] for w in range(width)], np.uint64)
+        order = np.argsort(long[u_at], kind="stable")
+        for at in range(0, len(order), LANES):
+            some = order[at : at + LANES]
+            t, u = t_at[some], u_at[some]
+            rest = np.full((width, len(some)), np.uint64(2**64 - 1))
+            for row in signs[: long[u].max()]:
+                of, carry = row[u] + t, None
+                for w in range(width):
+                    hit = rest[w] & places[w].take(of)
+                    total = rest[w] + hit
+                    if w + 1 < width:
+                        over = total < hit
+                    if carry is not None:
+                        total += carry
+                        if w + 1 < width:
+                            over |= total < carry
+                    if w + 1 < width:
+                        carry = over.astype(np.uint64)
+                    rest[w] = total | (rest[w] ^ hit)
+            out[pairs[some]] = size[t] - np.bitwise_count(rest & whole[:, t]).sum(0)
+    kept: dict[int, dict[str, int]] = {}
+    for n in np.flatnonzero(lengths[j] > LONG):
+        t = int(j[n])
+        kept[t] = kept.get(t) or _places(ts[t])
+        out[n] = _common(us[k[n]], kept[t])
+    return out
+
+
+def _at_least(words: list[np.ndarray], bits: np.ndarray, need: int) -> np.ndarray:
+    """The bits that are set in at least ``need`` of the rows, which are added with carries."""
+    count: list[np.ndarray] = []
+    for row in words:
+        carry = bits[row]
+        for n, digit in enumerate(count):
+            count[n], carry = digit ^ carry, digit & carry
+        if len(count) < (len(words)).bit_length():
+            count.append(carry)
+    same, more = np.full(bits.shape[1], np.uint64(2**64 - 1)), np.zeros(bits.shape[1], np.uint64)
+    for n in reversed(range(max(len(count), need.bit_length()))):
+        digit = count[n] if n < len(count) else np.zeros_like(more)
+        more, same = (more, same & digit) if need >> n & 1 else (more | same & digit, same & ~digit)
+    return more | same
+
+
+def held_pairs(x: pd.DataFrame, y: pd.DataFrame, similar: float, contained: float) -> pd.DataFrame:
+    """(id, entry_id) of papers (id, title, words) and entries (entry_id, bib_title, words) of similar titles.
+
+    Left out are only pairs where the paper's words hold less than the share ``contained`` of the entry's.
+    """
+    ts, us, n = x["title"].tolist(), y["bib_title"].tolist(), len(x)
+    j_found, k_found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if n and len(y):
+        wanted = [np.asarray(w, np.int64) for w in y["words"]]
+        known = np.unique(np.concatenate(wanted))
+        bits = np.zeros((len(known), -(-n // 64) * 8), np.uint8)
+        there = [np.asarray(w, np.int64) for w in x["words"]]
+        flat, row = np.concatenate(there), np.repeat(np.arange(n), [len(w) for w in there])
+        mine = np.isin(flat, known)
+        flat, row = flat[mine], row[mine]
+        np.bitwise_or.at(bits, (np.searchsorted(known, flat), row >> 3), (1 << (row & 7)).astype(np.uint8))
+        lanes, t_counts, u_counts = bits.view(np.uint64), _counts(ts), _counts(us)
+        t_sizes, u_sizes = np.array([len(t) for t in ts]), np.array([len(u) for u in us])
+        js: list[np.ndarray] = []
+        ks: list[np.ndarray] = []
+
+        def align() -> None:
+            j, k = np.concatenate(js), np.concatenate(ks)
+            good = 2.0 * _commons(ts, us, j, k) / (t_sizes[j] + u_sizes[k]) >= similar
+            j, k = j[good], k[good]
+            ratio: dict[tuple[str, str], float] = {}
+            for p in {(ts[a], us[b]) for a, b in zip(j, k)}:
+                ratio[p] = titles.similarity(*p)
+            good = np.array([ratio[ts[a], us[b]] >= similar for a, b in zip(j, k)], bool)
+            j_found.append(j[good])
+            k_found.append(k[good])
+            js.clear()
+            ks.clear()
+
+        for k, w in enumerate(wanted):
+            need = max(0, math.ceil((contained - 0.001) * len(w)))  # shares are rounded to three digits
+            if not len(w) and contained > 0:
+                continue
+            passed = _at_least(list(np.searchsorted(known, w)), lanes, need) if need else None
+            j = np.arange(n) if passed is None else np.flatnonzero(np.unpackbits(passed.view(np.uint8), bitorder="little")[:n])
+            j = j[2.0 * np.minimum(t_counts[j], u_counts[k]).sum(1) / (t_sizes[j] + u_sizes[k]) >= similar]
+            if len(j):
+                js.append(j)
+                ks.append(np.full(len(j), k))
+                if sum(map(len, js)) >= PAIRS:
+                    align()
+        if js:
+            align()
+    j, k = np.concatenate(j_found), np.concatenate(k_found)
+    return pd.DataFrame({"id": x["id"].to_numpy()[j], "entry_id": y["entry_id"].to_numpy()[k]})
+
+
+def similar_held(papers: DataFrame, bib: DataFrame, heads: DataFrame, similar: float, contained: float) -> DataFrame:
+    """(id, entry_id) of similar titles where the head of the paper's text (id, raw_text) holds that share of the entry's title words.
+
+    Complete: what is left out has less than that share. Words are compared by their hashes, so a
+    pair more may come out.
+    """
+    p, b = _titled(papers, bib)
+    entries = bib.select("entry_id", title_words(F.col("title")).alias("w")).join(b.select("entry_id", "bib_title"), "entry_id")
+    entries = materialize(entries, "entries-held")
+    words = entries.select(F.explode("w").alias("w")).distinct()
+    texts = papers.select("id").join(heads, "id")
+    own = texts.select("id", F.explode(F.array_distinct(head_words("raw_text"))).alias("w")).join(words, "w").groupBy("id").agg(F.collect_set(F.xxhash64("w")).alias("words"))
+    # papers without any of the words stay: nothing may be asked of them
+    p = materialize(p.select("id", "title").join(texts.select("id").distinct(), "id").join(own, "id", "left").select("id", "title", F.coalesce("words", F.array().cast("array<bigint>")).alias("words")), "papers-held")
+    b = entries.select("entry_id", "bib_title", F.transform(F.coalesce("w", F.array().cast("array<string>")), lambda w: F.xxhash64(w)).alias("words"))
+    rows, columns = (max(1, -(-t.count() // most)) for t, most in ((p, HELD_PAPERS), (entries, HELD_ENTRIES)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p, b = p.withColumn("i", part("id", rows)).withColumn("j", every(columns)), b.withColumn("j", part("entry_id", columns)).withColumn("i", every(rows))
+    compare = lambda x, y: held_pairs(x, y, similar, contained)
+    return p.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(compare, "id bigint, entry_id bigint").distinct()
+
+
 def cut_titles(papers: DataFrame, bib: DataFrame) -> DataFrame:
     """(id, entry_id): the paper's title is the start of the entry's title."""
     p, b = _titled(papers, bib)
@@ -239,17 +397,20 @@ def suggest(papers: DataFrame, bib: DataFrame, paper_text: DataFrame, similar: f
     that already has the key.
     """
     open_papers = papers.where(~has_ink("citekey"))
-    text = paper_text.select(F.col("paper_id").alias("id"), "raw_text")
-    titled = similar_titles(open_papers, bib, similar).select("id", "entry_id").union(cut_titles(open_papers, bib)).select("id", "entry_id", F.lit(1).alias("by_title"), F.lit(0).alias("by_file"))
+    text = paper_text.select(F.col("paper_id").alias("id"), F.substring("raw_text", 1, HEAD_CHARS).alias("raw_text"))  # what is asked of it lies there
+    titled = similar_held(open_papers, bib, text, similar, contained).union(cut_titles(open_papers, bib)).select("id", "entry_id", F.lit(1).alias("by_title"), F.lit(0).alias("by_file"))
     surname = F.lower(F.regexp_extract("filename", r"^([A-Za-z]+)[-_ ]?\d{4}", 1))
     year = F.regexp_extract("filename", r"^[A-Za-z]+[-_ ]?(\d{4})", 1)
     files = open_papers.select("id", surname.alias("k"), year.alias("y")).where("k <> ''")
     entries = bib.where("year is not null").select("entry_id", F.explode(surnames_column("authors")).alias("k"), F.col("year").cast("string").alias("y"))
     filed = files.join(entries.distinct(), ["k", "y"]).select("id", "entry_id", F.lit(0).alias("by_title"), F.lit(1).alias("by_file"))
-    met = titled.union(filed).groupBy("id", "entry_id").agg(F.max("by_title").alias("t"), F.max("by_file").alias("f"))
-    scored = met.join(bib.select("entry_id", "citekey", "title", bib_title("title").alias("phrase")), "entry_id").join(text, "id").withColumn("held", containment("title", "raw_text"))
-    head = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.substring("raw_text", 1, 6000)), "[^a-z0-9]+", " "), F.lit(" "))
-    whole = (F.length("phrase") >= 8) & head.contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    met = materialize(titled.union(filed).groupBy("id", "entry_id").agg(F.max("by_title").alias("t"), F.max("by_file").alias("f")), "suggest-met")
+    known = bib.select("entry_id", "citekey", title_words(F.col("title")).alias("words"), bib_title("title").alias("phrase"))
+    head = F.concat(F.lit(" "), F.regexp_replace(F.lower("raw_text"), "[^a-z0-9]+", " "), F.lit(" "))
+    # words and head of a text are made once, where texts are parted by paper, not for every entry it meets
+    opening = text.join(met.select("id").distinct(), "id", "left_semi").repartition("id").select("id", F.array_distinct(head_words("raw_text")).alias("there"), head.alias("head"))
+    scored = met.join(known, "entry_id").join(opening, "id").withColumn("held", share_held("words", "there"))
+    whole = (F.length("phrase") >= 8) & F.col("head").contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     t, f = (F.col("t") == 1) & (F.col("held") >= contained), (F.col("f") == 1) & ((F.col("held") >= file_contained) | whole)
     low = F.lit(False)
     if "title_layout_confidence" in papers.columns:

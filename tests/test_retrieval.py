@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from paperlake.functions.query import Field, First, Near, QuerySyntaxError, parse_syntax
+from paperlake.functions.titles import similarity
 from paperlake.operators import chunking, frontmatter, grep, layout, link, metadata, process, repairs, search
 from paperlake.operators.index import KeywordIndex
 from paperlake.plans.catalog import Catalog
@@ -202,3 +206,26 @@ def test_nearest_of_more_queries_than_one_pass_holds(spark, monkeypatch):
         want += [(q, n + 1, int(i), float(s[i])) for n, i in enumerate(np.lexsort((np.arange(len(x)), -s))[:3])]
     assert got == want
     assert search.scores(rows, asked).count() == len(x) * 36
+
+
+def test_suggestions_align_only_titles_whose_words_the_text_holds(monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9)))
+    stock = [word() for _ in range(60)]
+    us = [" ".join(rng.choices(stock, k=rng.randint(2, 9))) for _ in range(70)] + ["x " + " ".join(stock[:50])]
+    ts = [" ".join(w[1:] if rng.random() < 0.2 else w for w in rng.choice(us).split()) for _ in range(130)]
+    held = [sorted({hash(w) for w in rng.sample(stock, 30)} | {hash(w) for w in t.split() if rng.random() < 0.9}) for t in ts]
+    asked = [[hash(w) for w in u.split()] for u in us]
+    asked[5] = []
+    x, y = pd.DataFrame({"id": range(130), "title": ts, "words": held}), pd.DataFrame({"entry_id": range(71), "bib_title": us, "words": asked})
+    share = lambda a, b: sum(w in held[a] for w in asked[b]) / len(asked[b]) if asked[b] else 0.0
+    aligned, plain = [0], link._commons
+    monkeypatch.setattr(link, "_commons", lambda t, u, j, k: (aligned.__setitem__(0, aligned[0] + len(j)), plain(t, u, j, k))[1])
+    for least in (0.6, 0.0):
+        aligned[0] = 0
+        got = {tuple(r) for r in link.held_pairs(x, y, 0.75, least).itertuples(index=False)}
+        want = {(a, b) for a in range(130) for b in range(71) if similarity(ts[a], us[b]) >= 0.75 and share(a, b) >= least}
+        assert got == want and (least or len(got) > 100)
+        assert aligned[0] <= sum(share(a, b) >= least - 0.001 for a in range(130) for b in range(71))
+    j, k = np.repeat(np.arange(130), 71), np.tile(np.arange(71), 130)
+    assert plain(ts, us, j, k).tolist() == [link._common(ts[a], link._places(us[b])) for a, b in zip(j, k)]
