@@ -12,6 +12,7 @@ from paperlake.operators.components import components
 from paperlake.operators.index import KeywordIndex, index_of
 from paperlake.operators.unpack import unpack
 from paperlake.oracles import ORACLES
+from paperlake.plans.lineage import materialize
 from paperlake.sources import sinks
 from paperlake.sources.tables import table
 from paperlake.streaming.opens import hourly
@@ -577,7 +578,7 @@ def link_apply(s, d):
 @query
 def link_apply_suggested(s, d):
     """Suggested keys applied to every paper that has a suggestion, in the order of ids."""
-    found = link_suggest(s, d)
+    found = materialize(link_suggest(s, d), "suggestions")  # read several times, made once
     return link.apply_suggestions(papers(s, d), found, found.select(F.col("id").alias("pos"), "id"))[1]
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paperlake import queries
 from paperlake.functions.query import Field, First, Near, QuerySyntaxError, parse_syntax
 from paperlake.functions.titles import similarity
 from paperlake.operators import chunking, frontmatter, grep, layout, link, metadata, process, repairs, search
@@ -229,3 +230,19 @@ def test_suggestions_align_only_titles_whose_words_the_text_holds(monkeypatch):
         assert aligned[0] <= sum(share(a, b) >= least - 0.001 for a in range(130) for b in range(71))
     j, k = np.repeat(np.arange(130), 71), np.tile(np.arange(71), 130)
     assert plain(ts, us, j, k).tolist() == [link._common(ts[a], link._places(us[b])) for a, b in zip(j, k)]
+
+
+def test_suggestions_are_made_once_for_applying(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(key):
+        made.add(1)
+        return key
+
+    rows = spark.createDataFrame([(1, "a2001x", None), (2, "a2001x", None), (3, "b2002y", 9)], "id bigint, citekey string, owner_id bigint")
+    found = rows.withColumn("citekey", F.udf(seen, "string").asNondeterministic()("citekey"))
+    monkeypatch.setattr(queries, "link_suggest", lambda s, d: found)
+    monkeypatch.setattr(queries, "papers", lambda s, d: spark.createDataFrame([(n, None) for n in (1, 2, 3, 4)], "id bigint, citekey string"))
+    got = {tuple(r) for r in queries.link_apply_suggested(spark, "").collect()}
+    assert got == {(1, "a2001x", "applied"), (2, "a2001x", "refused"), (3, "b2002y", "refused")}
+    assert made.value == 3
